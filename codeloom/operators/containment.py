@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.text import strip_all_whitespace
-from codeloom.operators.scale import small_side
 from codeloom.schemas import BENIGN
 
 # Shortest passage of each class -> k-gram size. A class with passages of at least n characters
 # needs windows of n - k + 1 k-grams.
-CLASSES = {1: 1, 2: 2, 3: 3, 4: 4, 8: 5, 16: 8, 32: 16}
-MAX_BROADCAST_ANCHORS = 1_000_000
+CLASSES = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 8: 5, 16: 8, 32: 16}
+WHOLE = 4  # passages up to this length are their own anchor
+
+# Passages within both bounds are broadcast; larger sets take the shuffled path.
+MAX_PASSAGES = 200_000
+MAX_PASSAGE_CHARS = 32_000_000
 
 _HITS = T.ArrayType(T.StructType([
     T.StructField("size", T.IntegerType()),
@@ -33,6 +36,9 @@ _HITS = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()),
 ]))
 
+_ANCHOR = T.StructType([
+    T.StructField("anchor", T.LongType()), T.StructField("off", T.IntegerType())])
+
 
 def _kgram_hashes(text: str, k: int) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -56,7 +62,7 @@ def shown_positions(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(h) < w:
         return h[:0], np.empty(0, dtype=np.int64)
     if w == 1:
-        if size <= 3:  # such a passage is its own anchor: one position per k-gram is enough
+        if size <= WHOLE:  # one position per k-gram is enough
             _, pos = np.unique(h, return_index=True)
         else:
             pos = np.arange(len(h))
@@ -79,92 +85,128 @@ def _class_of(length: Column) -> Column:
     return size
 
 
-@F.pandas_udf("struct<anchor:bigint,off:int>")
+@F.pandas_udf(_ANCHOR)
 def _anchor(text: pd.Series, size: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(
         [passage_anchor(t, s) for t, s in zip(text, size)], columns=["anchor", "off"])
 
 
-def _hits_of(sizes: Sequence[int], known) -> Column:
-    """Pandas UDF: the positions a text shows, limited to ``known`` anchors if those are given."""
-
-    @F.pandas_udf(_HITS)
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        wanted = known.value if known is not None else None
-        for texts in batches:
-            out = []
-            for text in texts:
-                row: list[tuple[int, int, int]] = []
-                for size in sizes:
-                    h, pos = shown_positions(text, size)
-                    anchors = h.astype(np.int64)
-                    if wanted is not None:
-                        keep = np.isin(anchors, wanted[size])
-                        anchors, pos = anchors[keep], pos[keep]
-                    row.extend(zip([size] * len(pos), anchors.tolist(), pos.tolist()))
-                out.append(row)
-            yield pd.Series(out)
-
-    return hits
+def _size_of(length: int) -> int:
+    return max(n for n in CLASSES if n <= length)
+
+
+def _shape_table(passages: Sequence[str]) -> dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]:
+    """Per class: the sorted anchors, and the (offset, length) shapes of each."""
+    shapes: dict[int, dict[int, set[tuple[int, int]]]] = {}
+    for p in passages:
+        size = _size_of(len(p))
+        anchor, off = passage_anchor(p, size)
+        shapes.setdefault(size, {}).setdefault(anchor, set()).add((off, len(p)))
+    return {size: (np.array(sorted(by), dtype=np.int64), {a: sorted(v) for a, v in by.items()})
+            for size, by in shapes.items()}
+
+
+def _found_in(text: str, table, known: set[str]) -> list[str]:
+    found = set()
+    for size, (anchors, shapes) in table.items():
+        h, pos = shown_positions(text, size)
+        if not len(h):
+            continue
+        values = h.astype(np.int64)
+        at = np.minimum(np.searchsorted(anchors, values), len(anchors) - 1)
+        keep = anchors[at] == values
+        for anchor, p in zip(values[keep].tolist(), pos[keep].tolist()):
+            for off, n in shapes[anchor]:
+                piece = text[p - off:p - off + n] if p >= off else ""
+                if piece in known:
+                    found.add(piece)
+    return list(found)
+
+
+def _broadcast_matches(texts: DataFrame, passages: Sequence[str], passage: str) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((_shape_table(passages), set(passages)))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table, known = shared.value
+        for batch in batches:
+            yield pd.Series([_found_in(t, table, known) for t in batch])
+
+    return texts.withColumn(passage, F.explode(found("_text"))).drop("_text")
+
+
+@F.pandas_udf(_HITS)
+def _shown(texts: pd.Series) -> pd.Series:
+    out = []
+    for text in texts:
+        row: list[tuple[int, int, int]] = []
+        for size in CLASSES:
+            h, pos = shown_positions(text, size)
+            row.extend(zip([size] * len(pos), h.astype(np.int64).tolist(), pos.tolist()))
+        out.append(row)
+    return pd.Series(out)
+
+
+def _shuffled_matches(texts: DataFrame, distinct: DataFrame, text_id: str, keys: list[str],
+                      passage: str) -> DataFrame:
+    shapes = (
+        distinct.withColumn("size", _class_of(F.length(passage)))
+        .withColumn("_a", _anchor(passage, "size"))
+        .select(*keys, "size", F.col("_a.anchor").alias("anchor"), F.col("_a.off").alias("off"),
+                F.length(passage).alias("len")).dropDuplicates()
+    )
+    shown = texts.select(text_id, *keys, F.explode(_shown("_text")).alias("_hit")).select(
+        text_id, *keys, "_hit.*")
+    located = (
+        shown.join(shapes, [*keys, "size", "anchor"])
+        .select(text_id, (F.col("pos") - F.col("off") + 1).alias("_start"), "len")
+        .filter("_start >= 1").distinct()
+    )
+    pieces = located.join(texts, text_id).select(
+        text_id, *keys, F.substr("_text", "_start", "len").alias(passage)).dropDuplicates()
+    return pieces.join(distinct, [*keys, passage], "left_semi")
 
 
 def contained(texts: DataFrame, passages: DataFrame, text_id: str, text: str, passage: str,
-              keys: Sequence[str] = ()) -> DataFrame:
+              keys: Sequence[str] = (), max_passages: int = MAX_PASSAGES) -> DataFrame:
     """Distinct (``text_id``, *keys, ``passage``) where the passage occurs in the text.
 
     ``text_id`` must be unique per text. With ``keys``, only texts and passages that agree on them
-    are compared. Empty passages occur in every text.
+    are compared. Empty passages occur in every text. A passage set of proven small size is
+    broadcast, and texts then are not shuffled at all; any other set meets the texts by shuffles.
     """
     keys = list(keys)
-    spark = texts.sparkSession
     texts = texts.select(text_id, *keys, F.col(text).alias("_text"))
-    distinct = passages.select(*keys, F.col(passage).alias(passage)).filter(
-        F.col(passage).isNotNull()).dropDuplicates()
-
-    shaped = (
-        distinct.filter(F.length(passage) > 0)
-        .withColumn("size", _class_of(F.length(passage)))
-        .withColumn("_a", _anchor(passage, "size"))
-    )
-    shapes = shaped.select(
-        *keys, "size", F.col("_a.anchor").alias("anchor"), F.col("_a.off").alias("off"),
-        F.length(passage).alias("len")).dropDuplicates()
-
-    anchors = shapes.select("size", "anchor").distinct().limit(MAX_BROADCAST_ANCHORS + 1).toPandas()
-    bounded = len(anchors) <= MAX_BROADCAST_ANCHORS
-    known = None
-    sizes = sorted(CLASSES)
-    if bounded:
-        by_size = {int(s): np.sort(g.to_numpy(dtype=np.int64))
-                   for s, g in anchors.groupby("size")["anchor"]}
-        sizes = sorted(by_size)
-        known = spark.sparkContext.broadcast(by_size)
-
-    parts = []
-    if sizes:
-        hits = _hits_of(sizes, known)
-        shown = texts.select(
-            text_id, *keys, *(["_text"] if bounded else []), F.explode(hits("_text")).alias("_hit"),
-        ).select("*", "_hit.*").drop("_hit")
-        located = shown.join(small_side(shapes) if bounded else shapes, [*keys, "size", "anchor"])
-        located = located.withColumn("_start", F.col("pos") - F.col("off") + 1).filter("_start >= 1")
-        if not bounded:
-            located = located.select(text_id, "_start", "len").distinct().join(texts, text_id)
-        parts.append(located.select(
-            text_id, *keys, F.substr("_text", "_start", "len").alias(passage)))
-
-    empty = distinct.filter(F.length(passage) == 0)
-    if keys:
-        parts.append(texts.join(empty, keys).select(text_id, *keys, passage))
+    distinct = passages.select(*keys, passage).filter(F.col(passage).isNotNull()).dropDuplicates()
+    wording = distinct.select(passage).dropDuplicates() if keys else distinct
+    n, chars = wording.agg(F.count("*"), F.coalesce(F.sum(F.length(passage)), F.lit(0))).first()
+
+    if n <= max_passages and chars <= MAX_PASSAGE_CHARS:
+        words = [r[0] for r in wording.collect()]
+        filled = [w for w in words if w]
+        parts = [_broadcast_matches(texts, filled, passage)] if filled else []
+        if keys:
+            parts = [p.join(distinct, [*keys, passage], "left_semi") for p in parts]
+        if len(filled) < len(words):
+            everywhere = texts.drop("_text").withColumn(passage, F.lit(""))
+            if keys:
+                everywhere = everywhere.join(
+                    distinct.filter(F.length(passage) == 0).select(*keys), keys, "left_semi")
+            parts.append(everywhere)
     else:
-        any_empty = empty.limit(1).agg((F.count("*") > 0).alias("any")).scalar()
-        parts.append(texts.filter(any_empty).select(text_id, F.lit("").alias(passage)))
-
-    pieces = parts[0]
+        parts = [_shuffled_matches(
+            texts, distinct.filter(F.length(passage) > 0), text_id, keys, passage)]
+        blank = distinct.filter(F.length(passage) == 0)
+        if keys:
+            parts.append(texts.drop("_text").join(blank, keys))
+        elif blank.limit(1).count():
+            parts.append(texts.select(text_id, F.lit("").alias(passage)))
+    if not parts:
+        return texts.drop("_text").withColumn(passage, F.lit("")).limit(0)
+    out = parts[0]
     for part in parts[1:]:
-        pieces = pieces.unionByName(part)
-    pieces = pieces.dropDuplicates()
-    return pieces.join(small_side(distinct), [*keys, passage], "left_semi")
+        out = out.unionByName(part)
+    return out
 
 
 def match_passages(texts: DataFrame, passages: DataFrame, text_id: str, text: str,
@@ -203,7 +245,7 @@ def label_functions(functions: DataFrame, findings: DataFrame, carry: Sequence[s
     per_file = found.groupBy("file").agg(F.count("*").alias("_in_file"))
     per_fun = matched.groupBy("_fun").agg(F.count("*").alias("_matched"))
     benign = (
-        funs.join(small_side(per_file), "file").join(per_fun, "_fun", "left")
+        funs.join(per_file, "file").join(per_fun, "_fun", "left")
         .filter(F.coalesce("_matched", F.lit(0)) < F.col("_in_file"))
         .select("file", "code", F.lit("").alias("context"), F.lit(BENIGN).alias("cwe"), *carry)
     )

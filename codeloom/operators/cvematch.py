@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import path_basename
 from codeloom.operators.containment import contained
-from codeloom.operators.scale import small_side
 
 MAX_PATTERNS = 10_000
 
@@ -30,6 +29,6 @@ def projects_in_cve(records: DataFrame, projects: DataFrame, record_id: str = "c
         found = texts.select(F.explode(F.array_compact(tests)).alias("_name")).distinct()
     else:
         found = contained(texts, names, record_id, "_text", "_name").select("_name").distinct()
-    found = small_side(found.withColumn("_hit", F.lit(True)))
+    found = found.withColumn("_hit", F.lit(True))
     return names.join(found, "_name", "left").select(
         "project", F.coalesce("_hit", F.lit(False)).alias("in_cve"))

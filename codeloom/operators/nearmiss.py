@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.scale import keep_lowest, seeded_hash, small_side
+from codeloom.operators.scale import seeded_hash, small_side
+from codeloom.session import ensure_checkpoint_dir
 
 MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
 _STEP = 2048  # rows per distance matrix
@@ -141,39 +142,43 @@ def _cell_distances(rows: DataFrame, minority: DataFrame, row_id: str, vector: s
         meet, f"{row_id} {kind}, near array<double>")
 
 
-def minority_distances(df: DataFrame, label: str, row_id: str, vector: str, minority_label: Column,
-                       k: int = 3, max_values: int = MAX_BROADCAST_VALUES, pivots: int = 64,
-                       block_rows: int = 4096, seed: int = 0) -> DataFrame:
-    """(``row_id``, ``distance``) of every row outside the minority class: the mean distance to its
-    k nearest minority rows."""
+def minority_distances(df: DataFrame, label: str, row_id: str, vector: str, k: int = 3,
+                       max_values: int = MAX_BROADCAST_VALUES, pivots: int = 64,
+                       block_rows: int = 4096, seed: int = 0) -> tuple[DataFrame, Column, int]:
+    """(``row_id``, ``distance``) of every row outside the smallest class, namely the mean distance
+    to its k nearest rows of that class; with that class and its size. Ties for smallest go to the
+    lowest label."""
+    low, n_min, width = (
+        df.groupBy(label).agg(F.count("*").alias("_n"), F.max(F.size(vector)).alias("_w"))
+        .orderBy("_n", label).limit(1).first())
+    minority_label = F.lit(low)
     as_double = df.select(row_id, label, F.col(vector).cast("array<double>").alias(vector))
     minority = as_double.filter(F.col(label) == minority_label).select(row_id, vector)
     rows = as_double.filter(F.col(label) != minority_label)
-    n, width = minority.agg(F.count("*"), F.max(F.size(vector))).first()
-    if n * (width or 0) <= max_values:
-        found = _broadcast_distances(
-            rows, np.stack(minority.select(vector).toPandas()[vector].to_numpy()), row_id, vector, k)
+    if n_min * width <= max_values:
+        near = np.stack(minority.select(vector).toPandas()[vector].to_numpy())
+        found = _broadcast_distances(rows, near, row_id, vector, k)
     else:
         found = _cell_distances(rows, minority, row_id, vector, k, pivots, block_rows, seed)
         found = found.groupBy(row_id).agg(F.flatten(F.collect_list("near")).alias("near"))
-    return found.select(row_id, _mean_of(F.col("near"), k).alias("distance"))
+    return found.select(row_id, _mean_of(F.col("near"), k).alias("distance")), minority_label, n_min
 
 
 def nearmiss_undersample(df: DataFrame, label: str, row_id: str, vector: str, k: int = 3,
                          digits: int = 6, **options: int) -> DataFrame:
     """Reduce every class to the size of the smallest: the rows with the smallest mean distance to
-    their k nearest minority rows stay. Distances are compared to ``digits`` decimals, ties by id."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    low = counts.orderBy("_n", label).limit(1).first()
-    minority_label, n_min = F.lit(low[0]), low[1]
-    distances = minority_distances(df, label, row_id, vector, minority_label, k, **options)
-    ranked = (
-        df.filter(F.col(label) != minority_label)
-        .join(distances.withColumn("distance", F.round("distance", digits)), row_id)
-    )
-    kept = _lowest_per_class(ranked, label, row_id, n_min)
+    their k nearest minority rows stay. Distances are compared to ``digits`` decimals, ties by id.
+
+    The distances are the costly part and are read several times, so they are checkpointed.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    distances, minority_label, n_min = minority_distances(df, label, row_id, vector, k, **options)
+    measured = (
+        distances.withColumn("distance", F.round("distance", digits))
+        .join(df.select(row_id, label), row_id).checkpoint())
+    kept = _lowest_per_class(measured, label, row_id, n_min).select(row_id, "distance")
     return df.filter(F.col(label) == minority_label).withColumn(
-        "distance", F.lit(None).cast("double")).unionByName(kept)
+        "distance", F.lit(None).cast("double")).unionByName(df.join(kept, row_id))
 
 
 def _lowest_per_class(ranked: DataFrame, label: str, row_id: str, n_min: int) -> DataFrame:

@@ -37,61 +37,61 @@ def keep_lowest(df: DataFrame, order_hash: Column, wanted: DataFrame,
     limit falls, and only that slice is ranked. No window ever sees a whole group.
     """
     group = list(group)
-    sliced = df.withColumn("_h", order_hash).withColumn(
-        "_slice", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    totals = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
+    sliced = df.withColumn("__h", order_hash).withColumn(
+        "__slice", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    totals = Window.partitionBy(*group).orderBy("__slice").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     per_slice = (
-        sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
-        .withColumn("_below", F.sum("_n").over(totals) - F.col("_n"))
+        sliced.groupBy(*group, "__slice").agg(F.count("*").alias("__n"))
+        .withColumn("__below", F.sum("__n").over(totals) - F.col("__n"))
     )
     if group:
         per_slice = per_slice.join(small_side(wanted), group)
     else:
         per_slice = per_slice.withColumn("n_wanted", wanted.select("n_wanted").scalar())
-    at_limit = (F.col("_below") < F.col("n_wanted")) & (
-        F.col("_below") + F.col("_n") >= F.col("n_wanted"))
+    at_limit = (F.col("__below") < F.col("n_wanted")) & (
+        F.col("__below") + F.col("__n") >= F.col("n_wanted"))
     # One row per group. No cut slice means the group wants nothing, or all it has.
     limits = per_slice.groupBy(*group).agg(
         F.max(F.when(at_limit, F.struct(
-            F.col("_slice").alias("slice"),
-            (F.col("n_wanted") - F.col("_below")).alias("left")))).alias("cut"),
+            F.col("__slice").alias("slice"),
+            (F.col("n_wanted") - F.col("__below")).alias("left")))).alias("cut"),
         F.max("n_wanted").alias("want"))
     packed = F.struct("cut", "want")
     if group:
-        tagged = sliced.join(small_side(limits.select(*group, packed.alias("_limit"))), group)
+        tagged = sliced.join(small_side(limits.select(*group, packed.alias("__limit"))), group)
     else:
-        tagged = sliced.withColumn("_limit", limits.select(packed).scalar())
+        tagged = sliced.withColumn("__limit", limits.select(packed).scalar())
     tagged = tagged.select(
-        "*", F.col("_limit.cut.slice").alias("_cut"), F.col("_limit.cut.left").alias("_left"),
-        F.col("_limit.want").alias("_want")).drop("_limit")
-    edge = F.col("_slice") == F.col("_cut")
-    rank = Window.partitionBy(*group, "_slice").orderBy("_h")
-    ranked = tagged.filter(edge).withColumn("taken", F.row_number().over(rank) <= F.col("_left"))
-    others = tagged.filter(~edge | F.col("_cut").isNull()).withColumn(
-        "taken", F.when(F.col("_cut").isNotNull(), F.col("_slice") < F.col("_cut"))
-        .otherwise(F.coalesce(F.col("_want"), F.lit(0)) > 0))
-    return ranked.unionByName(others).drop("_h", "_slice", "_cut", "_left", "_want")
+        "*", F.col("__limit.cut.slice").alias("__cut"), F.col("__limit.cut.left").alias("__left"),
+        F.col("__limit.want").alias("__want")).drop("__limit")
+    edge = F.col("__slice") == F.col("__cut")
+    rank = Window.partitionBy(*group, "__slice").orderBy("__h")
+    ranked = tagged.filter(edge).withColumn("taken", F.row_number().over(rank) <= F.col("__left"))
+    others = tagged.filter(~edge | F.col("__cut").isNull()).withColumn(
+        "taken", F.when(F.col("__cut").isNotNull(), F.col("__slice") < F.col("__cut"))
+        .otherwise(F.coalesce(F.col("__want"), F.lit(0)) > 0))
+    return ranked.unionByName(others).drop("__h", "__slice", "__cut", "__left", "__want")
 
 
 def _in_sorted_slices(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-sort once, number the rows inside each range, and persist that layout reliably."""
     ensure_checkpoint_dir(df.sparkSession)
-    spread = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    spread = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
     return (
         spread.checkpoint()
-        .withColumn("_range", F.shiftright("_at", 33))
-        .withColumn("_pos", F.col("_at").bitwiseAND((1 << 33) - 1))
-        .drop("_at")
+        .withColumn("__range", F.shiftright("__at", 33))
+        .withColumn("__pos", F.col("__at").bitwiseAND((1 << 33) - 1))
+        .drop("__at")
     )
 
 
 def _offsets(ranges: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Exclusive running totals over the ranges: one row per range, so one small window."""
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = ranges.groupBy("_range").agg(*[c.alias(name) for name, c in sums.items()])
-    return per_range.select("_range", *[
-        F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in sums])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = ranges.groupBy("__range").agg(*[c.alias(name) for name, c in sums.items()])
+    return per_range.select("__range", *[
+        F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__before_{name}") for name in sums])
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -99,9 +99,9 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank"
     ranges = _in_sorted_slices(df, order)
     offsets = _offsets(ranges, {"n": F.count("*")})
     return (
-        ranges.join(F.broadcast(offsets), "_range")  # one row per sort range
-        .withColumn(name, F.col("_before_n") + F.col("_pos") + 1)
-        .drop("_range", "_pos", "_before_n")
+        ranges.join(F.broadcast(offsets), "__range")  # one row per sort range
+        .withColumn(name, F.col("__before_n") + F.col("__pos") + 1)
+        .drop("__range", "__pos", "__before_n")
     )
 
 
@@ -109,9 +109,9 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, str])
     """Inclusive running sums (``{new_name: column}``) in a total order, range by range."""
     ranges = _in_sorted_slices(df, order)
     offsets = _offsets(ranges, {name: F.sum(col) for name, col in sums.items()})
-    inside = Window.partitionBy("_range").orderBy("_pos").rowsBetween(
+    inside = Window.partitionBy("__range").orderBy("__pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = ranges.join(F.broadcast(offsets), "_range")
+    out = ranges.join(F.broadcast(offsets), "__range")
     for name, col in sums.items():
-        out = out.withColumn(name, F.sum(col).over(inside) + F.col(f"_before_{name}"))
-    return out.drop("_range", "_pos", *[f"_before_{name}" for name in sums])
+        out = out.withColumn(name, F.sum(col).over(inside) + F.col(f"__before_{name}"))
+    return out.drop("__range", "__pos", *[f"__before_{name}" for name in sums])

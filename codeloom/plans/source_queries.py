@@ -288,7 +288,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 SELECT file, line, lang AS category, cwe, context, CAST(NULL AS VARCHAR) AS severity FROM st
 UNION ALL SELECT file, line, lang, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'High' FROM st""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf)
+    s = statements(spark, sf).withColumn("line", F.col("line").cast("bigint"))
     left = s.select("file", "line", F.col("lang").alias("category"), "cwe", "context")
     right = s.select(F.lit("High").alias("severity"), F.col("lang").alias("category"), "line", "file")
     return fnd.union_findings(left, right)

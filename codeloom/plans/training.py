@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import (
@@ -62,7 +63,11 @@ def train_random_forest(train: DataFrame, code: str = "code", label: str = "labe
         featuresCol="features", labelCol="label_index", numTrees=trees, impurity="gini",
         featureSubsetStrategy="sqrt", maxDepth=depth, minInstancesPerNode=1, seed=seed)
     ready = labels.transform(features.transform(train)).select("features", "label_index")
-    return PipelineModel([*features.stages, labels, forest.fit(ready)])
+    # The forest reads its input several times before it keeps its own binned copy.
+    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
+    model = forest.fit(ready)
+    ready.unpersist()
+    return PipelineModel([*features.stages, labels, model])
 
 
 def accuracy(model: PipelineModel, df: DataFrame, label: str = "label_index") -> DataFrame:
@@ -76,13 +81,12 @@ def train_dense_net(train: DataFrame, features: str, label_index: str, classes:
                     seed: int = 30) -> PipelineModel:
     """Feed-forward net on an id-array column: sigmoid hidden layers, softmax output."""
     width = train.select(F.size(features)).first()[0]
-    ready = SQLTransformer(statement="SELECT * FROM __THIS__")
     data = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"),
                         F.col(label_index).cast("double").alias("label_index"))
     net = MultilayerPerceptronClassifier(
         featuresCol="features", labelCol="label_index", layers=[width, *hidden, classes],
         maxIter=iterations, blockSize=block, seed=seed).fit(data)
-    return PipelineModel([ready, net])
+    return PipelineModel([net])
 
 
 def train_dnn(train: DataFrame, features: str, label_index: str, classes: int, max_len: int = 150,
