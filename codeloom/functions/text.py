@@ -7,12 +7,16 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character classes below hold the same characters in Java and RE2, and follow Python's str rules.
-_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-SPACE = f"[{_SPACES}]"
-NOT_SPACE = f"[^{_SPACES}]"
-LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# What Python's str counts as space and as line end, spelled for Java: its Unicode \s lacks the four
+# ASCII separators, and \v is its class of vertical space. One predicate is much faster than a union.
+SPACE = r"[\s\x1c-\x1f]"
+LINE_END = r"[\v\x1c-\x1e]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
+_UNICODE = "(?U)"
+
+# The same characters listed one by one, for engines with other classes.
+SPACE_CHARS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END_CHARS = r"\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}"
 
 # The character alphabet (ids start at 1) and the token pattern of the TF-IDF model.
 ALPHABET = string.printable
@@ -28,15 +32,15 @@ def _replace(c: Column, pattern: str, by: str) -> Column:
 
 
 def trim_space(c: Column) -> Column:
-    return _replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return _replace(c, rf"{_UNICODE}\A{SPACE}+|{SPACE}+\z", "")
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return _replace(c, f"{SPACE}+", " ")
+    return _replace(c, f"{_UNICODE}{SPACE}+", " ")
 
 
 def strip_all_whitespace(c: Column) -> Column:
-    return _replace(c, f"{SPACE}+", "")
+    return _replace(c, f"{_UNICODE}{SPACE}+", "")
 
 
 def strip_comments(c: Column) -> Column:
@@ -46,8 +50,9 @@ def strip_comments(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines without their ends; text that ends in a line end has no extra empty line."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    c = F.replace(c, F.lit("\r\n"), F.lit("\n"))
+    body = F.when(F.rlike(F.right(c, F.lit(1)), F.lit(LINE_END)), F.left(c, F.length(c) - 1)).otherwise(c)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END, -1))
 
 
 def longer_than(c: Column, n: int) -> Column:
@@ -77,31 +82,35 @@ def concat_non_null(*cols: Column) -> Column:
 
 # --- character sequences -----------------------------------------------------------------------
 
-def _locate_each(c: Column) -> Column:
-    # F.locate takes a literal needle only, so use the SQL function of the same name.
-    return F.transform(
-        F.filter(F.split(c, ""), lambda ch: ch != ""),
-        lambda ch: F.call_function("locate", ch, F.lit(ALPHABET)).cast("int"))
+# Alphabet position by ASCII code.
+_POSITIONS = [ALPHABET.find(chr(code)) + 1 for code in range(128)]
 
 
 _NOT_IN_ALPHABET = r"[^\t-\r\x20-\x7e]"
 
 
+def _positions(c: Column) -> Column:
+    """Position of each ASCII character; 0 outside the alphabet."""
+    by_code = F.array(*[F.lit(p) for p in _POSITIONS])
+    return F.transform(F.split(c, ""), lambda ch: F.element_at(by_code, F.ascii(ch) + 1))
+
+
 def char_ids(c: Column) -> Column:
     """1-based alphabet position of every character; other characters are dropped."""
-    return _locate_each(_replace(c, _NOT_IN_ALPHABET, ""))
+    return F.filter(_positions(_replace(c, _NOT_IN_ALPHABET, "")), lambda i: i > 0)
 
 
 def pad_ids(ids: Column, n: int, side: str = "right", fill: int = 0) -> Column:
     """Exactly ``n`` ids: long input keeps its last ``n``, short input is filled on ``side``."""
     kept = F.when(F.size(ids) > n, F.slice(ids, -n, n)).otherwise(ids)
-    gap = F.array_repeat(F.lit(fill), (F.lit(n) - F.size(kept)).cast("int"))
+    gap = F.array_repeat(F.lit(fill), F.greatest(F.lit(n) - F.size(ids), F.lit(0)))
     return F.concat(kept, gap) if side == "right" else F.concat(gap, kept)
 
 
 def char_sequence(c: Column, n: int = 150) -> Column:
-    """``pad_ids(char_ids(c), n)``, but only the last ``n`` alphabet characters become ids."""
-    return pad_ids(_locate_each(F.right(_replace(c, _NOT_IN_ALPHABET, ""), F.lit(n))), n)
+    """``pad_ids(char_ids(c), n)``, cut and padded as text so that only ``n`` characters become ids."""
+    kept = F.right(_replace(c, _NOT_IN_ALPHABET, ""), F.lit(n))
+    return _positions(F.rpad(kept, n, "\0"))
 
 
 # --- tokens ------------------------------------------------------------------------------------
@@ -123,24 +132,16 @@ def simple_tokens(c: Column) -> Column:
     return F.filter(words, lambda w: F.length(w).between(2, 15) & ~F.startswith(w, F.lit("_")))
 
 
-C_OPERATORS = [
-    "->*", "...", "<<=", ">>=", "->", "++", "--", "<<", ">>", "<=", ">=", "==", "!=", "&&", "||",
-    "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "::", ".*", "##",
-]
-
-
-def _literal(text: str) -> str:
-    return "".join("\\" + ch if ch in r"\^$.|?*+()[]{}" else ch for ch in text)
-
-
-# A quote that never closes on its line is a token of its own, as any other single character.
+# Alternatives start with different characters, except that comments precede operators. A quote that
+# never closes on its line is a token of its own, as is any other single character.
+C_OPERATOR = r"->\*?|\+\+|--|<<=?|>>=?|&&|\|\||::|##|\.\.\.|\.\*|[\-+*/%&|^<>=!]="
 C_TOKEN = "|".join([
-    COMMENT,
-    r'"[^"\n]*"', r"'[^'\n]*'",
-    r"\.?[0-9](?:[eEpP][+\-]|[0-9A-Za-z_.])*",
     r"[\p{L}_][\p{L}\p{N}_]*",
-    *[_literal(op) for op in C_OPERATORS],
-    NOT_SPACE,
+    r"\.?[0-9](?:[eEpP][+\-]|[0-9A-Za-z_.])*",
+    r'"[^"\n]*"', r"'[^'\n]*'",
+    COMMENT,
+    C_OPERATOR,
+    f"[^{SPACE_CHARS}]",
 ])
 # Escapes inside literals are hidden behind Unicode noncharacters while tokens are cut, so that
 # literals match without the backtracking that overflows the stack on long escaped strings.
@@ -151,7 +152,7 @@ def code_tokens_c(c: Column) -> Column:
     """C tokens (comments included) with the spaces inside each token removed."""
     for text, mark in _HIDE:
         c = F.replace(c, F.lit(text), F.lit(mark))
-    tokens = F.regexp_extract_all(c, F.lit(C_TOKEN), 0)
+    tokens = F.regexp_extract_all(c, F.lit(f"[{SPACE_CHARS}]*({C_TOKEN})"), 1)
 
     def restore(token: Column) -> Column:
         token = F.replace(token, F.lit(" "), F.lit(""))

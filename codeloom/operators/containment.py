@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from codeloom.functions.text import strip_all_whitespace
 from codeloom.schemas import BENIGN
+from codeloom.session import staged
 
 # Shortest passage of each class -> k-gram size. A class with passages of at least n characters
 # needs windows of n - k + 1 k-grams.
@@ -123,14 +124,16 @@ def _found_in(text: str, table, known: set[str]) -> list[str]:
     return list(found)
 
 
-def _broadcast_matches(texts: DataFrame, passages: Sequence[str], passage: str) -> DataFrame:
+def _broadcast_matches(texts: DataFrame, passages: Sequence[str], passage: str,
+                       squeeze: bool) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((_shape_table(passages), set(passages)))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table, known = shared.value
         for batch in batches:
-            yield pd.Series([_found_in(t, table, known) for t in batch])
+            bodies = ("".join(t.split()) for t in batch) if squeeze else batch
+            yield pd.Series([_found_in(t, table, known) for t in bodies])
 
     return texts.withColumn(passage, F.explode(found("_text"))).drop("_text")
 
@@ -168,8 +171,10 @@ def _shuffled_matches(texts: DataFrame, distinct: DataFrame, text_id: str, keys:
 
 
 def contained(texts: DataFrame, passages: DataFrame, text_id: str, text: str, passage: str,
-              keys: Sequence[str] = (), max_passages: int = MAX_PASSAGES) -> DataFrame:
-    """Distinct (``text_id``, *keys, ``passage``) where the passage occurs in the text.
+              keys: Sequence[str] = (), squeeze: bool = False,
+             max_passages: int = MAX_PASSAGES) -> DataFrame:
+    """Distinct (``text_id``, *keys, ``passage``) where the passage occurs in the text, with
+    ``squeeze`` after all whitespace is taken out of the text.
 
     ``text_id`` must be unique per text. With ``keys``, only texts and passages that agree on them
     are compared. Empty passages occur in every text. A passage set of proven small size is
@@ -184,7 +189,7 @@ def contained(texts: DataFrame, passages: DataFrame, text_id: str, text: str, pa
     if n <= max_passages and chars <= MAX_PASSAGE_CHARS:
         words = [r[0] for r in wording.collect()]
         filled = [w for w in words if w]
-        parts = [_broadcast_matches(texts, filled, passage)] if filled else []
+        parts = [_broadcast_matches(texts, filled, passage, squeeze)] if filled else []
         if keys:
             parts = [p.join(distinct, [*keys, passage], "left_semi") for p in parts]
         if len(filled) < len(words):
@@ -194,6 +199,8 @@ def contained(texts: DataFrame, passages: DataFrame, text_id: str, text: str, pa
                     distinct.filter(F.length(passage) == 0).select(*keys), keys, "left_semi")
             parts.append(everywhere)
     else:
+        if squeeze:
+            texts = texts.withColumn("_text", strip_all_whitespace(F.col("_text")))
         parts = [_shuffled_matches(
             texts, distinct.filter(F.length(passage) > 0), text_id, keys, passage)]
         blank = distinct.filter(F.length(passage) == 0)
@@ -215,8 +222,7 @@ def match_passages(texts: DataFrame, passages: DataFrame, text_id: str, text: st
     whitespace aside."""
     long_enough = passages.filter(F.length(passage) > 1).select(
         passage_id, strip_all_whitespace(F.col(passage)).alias("_norm"))
-    norm_texts = texts.select(text_id, strip_all_whitespace(F.col(text)).alias("_body"))
-    found = contained(norm_texts, long_enough, text_id, "_body", "_norm")
+    found = contained(texts, long_enough, text_id, text, "_norm", squeeze=True)
     return found.join(long_enough, "_norm").select(text_id, passage_id).distinct()
 
 
@@ -224,30 +230,39 @@ def function_id(file: Column, code: Column) -> Column:
     return F.md5(F.concat_ws("\n", file, code))
 
 
+def identified(functions: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Distinct functions (file, code, *carry) with their id ``_fun``."""
+    return functions.select("file", "code", *carry).withColumn(
+        "_fun", function_id(F.col("file"), F.col("code"))).dropDuplicates(["_fun"])
+
+
 def label_functions(functions: DataFrame, findings: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Label each function by the findings of its file: (file, code, context, cwe, *carry), distinct.
 
     A finding whose context occurs in the function, whitespace aside, gives its weakness; a function
     that misses any finding of its file also gets a ``Benign`` row. That second rule only needs
-    numbers: how many findings the file has and how many of them the function matches. ``carry``
-    names further function columns that the file determines.
+    numbers: how many findings the file has and how many of them the function matches, so no pair of
+    function and finding is formed for it. ``carry`` names function columns that the file determines.
+
+    Functions may come with the ids of ``identified``; then they are taken to be distinct.
     """
-    funs = functions.select("file", "code", *carry).dropDuplicates(["file", "code"]).withColumn(
-        "_fun", function_id(F.col("file"), F.col("code")))
-    found = findings.select("file", "context", "cwe").dropDuplicates()
-    usable = found.filter(F.length("context") > 1).withColumn(
-        "_norm", strip_all_whitespace(F.col("context")))
-
-    body = funs.select("_fun", "file", strip_all_whitespace(F.col("code")).alias("_body"))
-    pieces = contained(body, usable, "_fun", "_body", "_norm", keys=["file"])
-    matched = pieces.join(usable, ["file", "_norm"]).select("_fun", "context", "cwe")
-
-    per_file = found.groupBy("file").agg(F.count("*").alias("_in_file"))
-    per_fun = matched.groupBy("_fun").agg(F.count("*").alias("_matched"))
-    benign = (
-        funs.join(per_file, "file").join(per_fun, "_fun", "left")
-        .filter(F.coalesce("_matched", F.lit(0)) < F.col("_in_file"))
-        .select("file", "code", F.lit("").alias("context"), F.lit(BENIGN).alias("cwe"), *carry)
+    funs = functions if "_fun" in functions.columns else identified(functions, carry)
+    # Read by several steps below, and often the outcome of a costly scan.
+    found = staged(findings.select("file", "context", "cwe").dropDuplicates().withColumn(
+        "_norm", strip_all_whitespace(F.col("context"))), "findings")
+    usable = found.filter(F.length("context") > 1)
+
+    pieces = contained(funs, usable, "_fun", "code", "_norm", keys=["file"], squeeze=True)
+    hits = pieces.join(usable, ["file", "_norm"]).select("_fun", F.struct("context", "cwe").alias("hit"))
+
+    per_file = found.groupBy("file").agg(F.count("*").alias("in_file"))
+    asked = funs.select("_fun", "file").join(per_file, "file").select("_fun", "in_file")
+    marks = hits.unionByName(asked, allowMissingColumns=True).groupBy("_fun").agg(
+        F.collect_list("hit").alias("hits"), F.max("in_file").alias("in_file"))
+    benign = F.array(F.struct(F.lit("").alias("context"), F.lit(BENIGN).alias("cwe")))
+    labels = F.when(F.size("hits") < F.col("in_file"), F.concat("hits", benign)).otherwise(F.col("hits"))
+    return (
+        funs.join(marks.select("_fun", labels.alias("labels")), "_fun")
+        .select("file", "code", *carry, F.inline("labels"))
+        .select("file", "code", "context", "cwe", *carry)
     )
-    vulnerable = funs.join(matched, "_fun").select("file", "code", "context", "cwe", *carry)
-    return vulnerable.unionByName(benign)

@@ -22,6 +22,15 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give costly row work more tasks when the input has fewer splits than there are cores.
+
+    Small tables come as one file with one row group. Inputs with enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def seeded_hash(seed: int | str, *cols: str | Column) -> Column:
     """Hex md5 of ``seed:col:col``: one sampling order that every engine can reproduce."""
     parts = [F.lit(str(seed))] + [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.cfunctions import extract_functions
-from codeloom.operators.containment import function_id, label_functions
+from codeloom.operators.containment import identified, label_functions
 from codeloom.operators.findings import (
     append_benign, filter_statement_context, scan_rules, split_statements)
 from codeloom.operators.projects import (
@@ -17,6 +17,7 @@ from codeloom.operators.projects import (
 from codeloom.operators.refine import refine_dataset
 from codeloom.operators.sampling import sample_benign_lines
 from codeloom.schemas import FINDING_COLUMNS
+from codeloom.session import staged
 from codeloom.sources.tables import read_table, replace_table
 
 
@@ -39,34 +40,34 @@ def label_sources(sources: DataFrame, findings: DataFrame, mark: str = ";", thre
 
     Functions come from files with findings and are labelled by all of them. Statements are the
     findings with a statement mark, and benign lines of the functions in files that have such a
-    finding. Equal functions of a file give equal samples, so each is sampled once.
+    finding. Equal functions of a file give equal samples, so each is sampled once. Functions are
+    cut out of the sources once and staged, because labelling and sampling both read them.
     """
     with_findings = findings.select(F.col("file").alias("path")).distinct()
-    bodies = extract_functions(sources.join(with_findings, "path", "left_semi"), keep=["project"])
+    bodies = staged(identified(extract_functions(
+        sources.join(with_findings, "path", "left_semi"), keep=["project"]), ["project"]), "functions")
     functions = label_functions(bodies, findings, carry=["project"])
 
     kept = filter_statement_context(findings, mark)
-    unique = bodies.select("file", "code", "project").dropDuplicates(["file", "code"])
     sampled = sample_benign_lines(
-        unique.join(kept.select("file").distinct(), "file", "left_semi").withColumn(
-            "_fn", function_id(F.col("file"), F.col("code"))),
-        "_fn", threshold, ratio, seed).drop("_fn")
-    statements = append_benign(kept.select(*FINDING_COLUMNS, "project"), sampled)
+        bodies.join(kept.select("file").distinct(), "file", "left_semi"), "_fun", threshold, ratio, seed)
+    statements = append_benign(kept.select(*FINDING_COLUMNS, "project"), sampled.drop("_fun"))
     return statements, functions
 
 
 def run_extraction(sources: DataFrame, rules: Sequence[dict[str, str]],
                    projects: DataFrame | None = None, scanned: DataFrame | None = None,
                    **options) -> Extraction:
-    """All steps as one lineage: register projects, take the files still to do, find, label, sample,
-    refine, and mark the projects complete. ``scanned`` lists files (``file``) done before."""
+    """The whole job: register projects, take the files still to do, find, label, sample, refine, and
+    mark the projects complete. ``scanned`` lists files (``file``) done before."""
     registered = register_projects(sources.select("project"), projects)
-    todo = filter_todo_projects(registered).select("project")
-    left = sources.join(todo, "project", "left_semi")
+    left = sources
+    if projects is not None:
+        left = left.join(filter_todo_projects(registered).select("project"), "project", "left_semi")
     if scanned is not None:
         left = remaining_files(left.withColumnRenamed("path", "file"), scanned).withColumnRenamed(
             "file", "path")
-    findings = find_statements(left, rules)
+    findings = staged(find_statements(left, rules), "findings")
     statements, functions = label_sources(left, findings, **options)
     done = left.select("project").distinct().withColumn("status", F.lit(COMPLETE))
     return Extraction(

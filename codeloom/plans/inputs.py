@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as X
 from codeloom.operators.findings import split_statements
 from codeloom.operators.projects import COMPLETE, IN_PROGRESS, NOT_STARTED
+from codeloom.operators.scale import spread_small
+
+
+_TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_small(df) if name in _TEXT_TABLES else df
 
 
 def quoted(text: str) -> str:
@@ -19,7 +24,7 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-SPACES_SQL = quoted(X.SPACE + "+")
+SPACES_SQL = quoted(f"[{X.SPACE_CHARS}]+")
 
 
 def squeeze_sql(expr: str, by: str = "") -> str:
@@ -27,13 +32,14 @@ def squeeze_sql(expr: str, by: str = "") -> str:
 
 
 def trim_sql(expr: str) -> str:
-    edges = quoted(rf"^{X.SPACE}+|{X.SPACE}+\z")
+    edges = quoted(rf"^[{X.SPACE_CHARS}]+|[{X.SPACE_CHARS}]+\z")
     return f"regexp_replace({expr}, {edges}, '', 'g')"
 
 
 def lines_sql(expr: str) -> str:
     """List of lines, without the empty piece after a final line end."""
-    parts = f"string_split_regex({expr}, {quoted(X.LINE_END)})"
+    ends = quoted(rf"\r\n|[{X.LINE_END_CHARS}]")
+    parts = f"string_split_regex({expr}, {ends})"
     return f"(CASE WHEN {parts}[-1] = '' THEN {parts}[:-2] ELSE {parts} END)"
 
 

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, Normalizer, SQLTransformer, StringIndexer)
+    IDF, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, StringIndexer)
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -39,35 +39,39 @@ def _token_stage(code: str) -> SQLTransformer:
         "FROM __THIS__"))
 
 
-def fit_tfidf(df: DataFrame, code: str = "code", terms: int = 3000) -> PipelineModel:
-    """Cleaning, tokens, counts of the top terms, smoothed IDF plus one, unit length."""
-    tokens = _token_stage(code)
-    tokenized = tokens.transform(df.select(code))
-    counter = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=terms).fit(tokenized)
+def fit_tfidf(tokenized: DataFrame, terms: int = 3000) -> list[Transformer]:
+    """Counts of the top terms, smoothed IDF plus one, unit length; from a ``tokens`` column."""
+    # Ties at the end of the vocabulary go by term, so that training can be repeated exactly.
+    top = (
+        tokenized.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        .orderBy(F.desc("n"), "term").limit(terms).collect())
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in top], inputCol="tokens", outputCol="tf")
     # Spark's IDF is the smoothed logarithm; the weighting adds one to it.
     idf = IDF(inputCol="tf", outputCol="idf").fit(counter.transform(tokenized)).idf.toArray() + 1.0
-    return PipelineModel([
-        tokens, counter,
+    return [
+        counter,
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="weighted"),
-        Normalizer(p=2.0, inputCol="weighted", outputCol="features")])
+        Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
 
 
 def train_random_forest(train: DataFrame, code: str = "code", label: str = "label", trees: int = 300,
                         terms: int = 3000, depth: int = 30, seed: int = 30) -> PipelineModel:
     """TF-IDF features into a random forest (gini, sqrt features per split)."""
-    features = fit_tfidf(train, code, terms)
+    cut = _token_stage(code)
+    # Several passes read the tokens; the kept copy can be rebuilt if an executor is lost.
+    tokenized = cut.transform(train.select(code, label)).drop(code).persist(StorageLevel.MEMORY_AND_DISK)
+    weights = fit_tfidf(tokenized, terms)
     labels = StringIndexer(
         inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep",
-    ).fit(train)
+    ).fit(tokenized)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label_index", numTrees=trees, impurity="gini",
         featureSubsetStrategy="sqrt", maxDepth=depth, minInstancesPerNode=1, seed=seed)
-    ready = labels.transform(features.transform(train)).select("features", "label_index")
-    # The forest reads its input several times before it keeps its own binned copy.
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    model = forest.fit(ready)
-    ready.unpersist()
-    return PipelineModel([*features.stages, labels, model])
+    ready = PipelineModel([*weights, labels]).transform(tokenized).select("features", "label_index")
+    model = PipelineModel([cut, *weights, labels, forest.fit(ready)])
+    tokenized.unpersist()
+    return model
 
 
 def accuracy(model: PipelineModel, df: DataFrame, label: str = "label_index") -> DataFrame:
@@ -78,9 +82,9 @@ def accuracy(model: PipelineModel, df: DataFrame, label: str = "label_index") ->
 
 def train_dense_net(train: DataFrame, features: str, label_index: str, classes: int,
                     hidden: Sequence[int], iterations: int = 120, block: int = 128,
-                    seed: int = 30) -> PipelineModel:
+                    seed: int = 30, width: int | None = None) -> PipelineModel:
     """Feed-forward net on an id-array column: sigmoid hidden layers, softmax output."""
-    width = train.select(F.size(features)).first()[0]
+    width = width or train.select(F.size(features)).first()[0]
     data = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"),
                         F.col(label_index).cast("double").alias("label_index"))
     net = MultilayerPerceptronClassifier(
@@ -91,7 +95,8 @@ def train_dense_net(train: DataFrame, features: str, label_index: str, classes:
 
 def train_dnn(train: DataFrame, features: str, label_index: str, classes: int, max_len: int = 150,
               **options) -> PipelineModel:
-    return train_dense_net(train, features, label_index, classes, [max_len, max_len // 4], **options)
+    return train_dense_net(
+        train, features, label_index, classes, [max_len, max_len // 4], width=max_len, **options)
 
 
 # Hidden layer sizes of the large net.
