@@ -130,6 +130,7 @@ def _cell_distances(rows: DataFrame, minority: DataFrame, row_id: str, vector: s
     )
     # A block is one bounded row; each (cell, block, chunk) reads it once.
     used = met.select("cell", "block", "chunk").distinct().join(blocks, ["cell", "block"])
+    used = used.select("cell", "block", "chunk", "vectors").toDF("cell_", "block_", "chunk_", "vectors")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -137,8 +138,8 @@ def _cell_distances(rows: DataFrame, minority: DataFrame, row_id: str, vector: s
         best = _k_smallest(np.stack(left[vector].to_numpy()), np.stack(right["vectors"].iloc[0]), k)
         return pd.DataFrame({row_id: left[row_id], "near": list(best)})
 
-    key = ["cell", "block", "chunk"]
-    return met.groupBy(*key).cogroup(used.groupBy(*key)).applyInPandas(
+    visitors, hosts = met.groupBy("cell", "block", "chunk"), used.groupBy("cell_", "block_", "chunk_")
+    return visitors.cogroup(hosts).applyInPandas(
         meet, f"{row_id} {kind}, near array<double>")
 
 
