@@ -41,42 +41,68 @@ _ANCHOR = T.StructType([
     T.StructField("anchor", T.LongType()), T.StructField("off", T.IntegerType())])
 
 
-def _kgram_hashes(text: str, k: int) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(codes) - k + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        h = h * np.uint64(1_000_003) + codes[j:j + n] + np.uint64(1)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return h
-
-
-def shown_positions(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the k-grams a text shows for passages of at least ``size`` characters."""
-    k = CLASSES[size]
-    h = _kgram_hashes(text, k)
-    w = size - k + 1
-    if len(h) < w:
-        return h[:0], np.empty(0, dtype=np.int64)
-    if w == 1:
-        if size <= WHOLE:  # one position per k-gram is enough
-            _, pos = np.unique(h, return_index=True)
-        else:
-            pos = np.arange(len(h))
+_CHUNK_CHARS = 2_000_000
+_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class _Joined:
+    """Several strings end to end, with where each starts; k-grams across a seam hash to the maximum."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.codes = np.frombuffer(
+            "".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+
+    def hashes(self, k: int) -> np.ndarray:
+        """One hash per character: of the k-gram that starts there."""
+        n = len(self.codes)
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(k):
+            h *= np.uint64(1_000_003)
+            h[:n - j] += self.codes[j:] + np.uint64(1)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        np.minimum(h, _NEVER - np.uint64(1), out=h)
+        ends = self.starts + self.lengths
+        for j in range(1, k):
+            h[np.maximum(ends - j, 0)[self.lengths >= j]] = _NEVER
+        return h
+
+
+def _sliding(h: np.ndarray, w: int, pick) -> np.ndarray:
+    """pick over h[i : i + w] for every i, in log2(w) steps; windows are cut short at the end."""
+    out, width = h.copy(), 1
+    while width < w:
+        step = min(width, w - width)
+        out[:len(out) - step] = pick(out[:len(out) - step], out[step:])
+        width += step
+    return out
+
+
+def shown_positions(joined: _Joined, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of the k-grams the strings show for passages of ``size`` characters or more:
+    those that are smallest in some window. Windows across seams only add positions."""
+    h = joined.hashes(CLASSES[size])
+    w = size - CLASSES[size] + 1
+    if w > 1 and len(h):
+        low = _sliding(h, w, np.minimum)
+        highest = _sliding(low[::-1], w, np.maximum)[::-1]
+        pos = np.flatnonzero((highest == h) & (h != _NEVER))
     else:
-        starts = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1)
-        pos = np.unique(starts + np.arange(len(starts)))
-    return h[pos], pos
+        pos = np.flatnonzero(h != _NEVER)
+    return h[pos].astype(np.int64), pos
 
 
-def passage_anchor(text: str, size: int) -> tuple[int, int]:
-    h = _kgram_hashes(text, CLASSES[size])
-    at = int(h.argmin())
-    return int(h[at].astype(np.int64)), at
+def passage_anchors(texts: Sequence[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, offset) of each passage of one class: its smallest k-gram hash, leftmost."""
+    joined = _Joined(texts)
+    h = joined.hashes(CLASSES[size])
+    least = np.minimum.reduceat(h, joined.starts)
+    at = np.flatnonzero(h == np.repeat(least, joined.lengths))
+    first = at[np.searchsorted(at, joined.starts)]
+    return least.astype(np.int64), first - joined.starts
 
 
 def _class_of(length: Column) -> Column:
@@ -88,8 +114,11 @@ def _class_of(length: Column) -> Column:
 
 @F.pandas_udf(_ANCHOR)
 def _anchor(text: pd.Series, size: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(
-        [passage_anchor(t, s) for t, s in zip(text, size)], columns=["anchor", "off"])
+    out = pd.DataFrame({"anchor": 0, "off": 0}, index=text.index)
+    for n, part in text.groupby(size):
+        anchors, offs = passage_anchors(part.tolist(), int(n))
+        out.loc[part.index, "anchor"], out.loc[part.index, "off"] = anchors, offs
+    return out.astype({"anchor": "int64", "off": "int32"})
 
 
 def _size_of(length: int) -> int:
@@ -98,30 +127,51 @@ def _size_of(length: int) -> int:
 
 def _shape_table(passages: Sequence[str]) -> dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]:
     """Per class: the sorted anchors, and the (offset, length) shapes of each."""
-    shapes: dict[int, dict[int, set[tuple[int, int]]]] = {}
+    by_size: dict[int, list[str]] = {}
     for p in passages:
-        size = _size_of(len(p))
-        anchor, off = passage_anchor(p, size)
-        shapes.setdefault(size, {}).setdefault(anchor, set()).add((off, len(p)))
-    return {size: (np.array(sorted(by), dtype=np.int64), {a: sorted(v) for a, v in by.items()})
-            for size, by in shapes.items()}
-
-
-def _found_in(text: str, table, known: set[str]) -> list[str]:
-    found = set()
+        by_size.setdefault(_size_of(len(p)), []).append(p)
+    table = {}
+    for size, texts in by_size.items():
+        shapes: dict[int, set[tuple[int, int]]] = {}
+        anchors, offs = passage_anchors(texts, size)
+        for anchor, off, text in zip(anchors.tolist(), offs.tolist(), texts):
+            shapes.setdefault(anchor, set()).add((off, len(text)))
+        table[size] = (np.array(sorted(shapes), dtype=np.int64), {a: sorted(v) for a, v in shapes.items()})
+    return table
+
+
+def _chunks(texts: Sequence[str]) -> Iterator[list[str]]:
+    chunk, held = [], 0
+    for text in texts:
+        chunk.append(text)
+        held += len(text)
+        if held >= _CHUNK_CHARS:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
+
+def _found_in(texts: list[str], table, known: set[str]) -> list[list[str]]:
+    """Per text, the known passages in it."""
+    found: list[set[str]] = [set() for _ in texts]
+    joined = _Joined(texts)
     for size, (anchors, shapes) in table.items():
-        h, pos = shown_positions(text, size)
-        if not len(h):
-            continue
-        values = h.astype(np.int64)
+        values, pos = shown_positions(joined, size)
         at = np.minimum(np.searchsorted(anchors, values), len(anchors) - 1)
         keep = anchors[at] == values
-        for anchor, p in zip(values[keep].tolist(), pos[keep].tolist()):
+        values, pos = values[keep], pos[keep]
+        owner = np.searchsorted(joined.starts, pos, side="right") - 1
+        if size <= WHOLE:  # the anchor is the passage: once per text is enough
+            _, once = np.unique(np.stack([owner, values]), axis=1, return_index=True)
+            values, pos, owner = values[once], pos[once], owner[once]
+        local = pos - joined.starts[owner]
+        for anchor, p, i in zip(values.tolist(), local.tolist(), owner.tolist()):
             for off, n in shapes[anchor]:
-                piece = text[p - off:p - off + n] if p >= off else ""
+                piece = texts[i][p - off:p - off + n] if p >= off else ""
                 if piece in known:
-                    found.add(piece)
-    return list(found)
+                    found[i].add(piece)
+    return [list(f) for f in found]
 
 
 def _broadcast_matches(texts: DataFrame, passages: Sequence[str], passage: str,
@@ -132,21 +182,28 @@ def _broadcast_matches(texts: DataFrame, passages: Sequence[str], passage: str,
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table, known = shared.value
         for batch in batches:
-            bodies = ("".join(t.split()) for t in batch) if squeeze else batch
-            yield pd.Series([_found_in(t, table, known) for t in bodies])
+            bodies = ["".join(t.split()) for t in batch] if squeeze else batch.tolist()
+            yield pd.Series([row for chunk in _chunks(bodies) for row in _found_in(chunk, table, known)])
 
     return texts.withColumn(passage, F.explode(found("_text"))).drop("_text")
 
 
 @F.pandas_udf(_HITS)
 def _shown(texts: pd.Series) -> pd.Series:
-    out = []
-    for text in texts:
-        row: list[tuple[int, int, int]] = []
+    out: list[list[tuple[int, int, int]]] = []
+    for chunk in _chunks(texts.tolist()):
+        joined = _Joined(chunk)
+        rows: list[list[tuple[int, int, int]]] = [[] for _ in chunk]
         for size in CLASSES:
-            h, pos = shown_positions(text, size)
-            row.extend(zip([size] * len(pos), h.astype(np.int64).tolist(), pos.tolist()))
-        out.append(row)
+            values, pos = shown_positions(joined, size)
+            owner = np.searchsorted(joined.starts, pos, side="right") - 1
+            if size <= WHOLE:
+                _, once = np.unique(np.stack([owner, values]), axis=1, return_index=True)
+                values, pos, owner = values[once], pos[once], owner[once]
+            local = pos - joined.starts[owner]
+            for i, anchor, p in zip(owner.tolist(), values.tolist(), local.tolist()):
+                rows[i].append((size, anchor, p))
+        out.extend(rows)
     return pd.Series(out)
 
 

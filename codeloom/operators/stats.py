@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.labels import binary_name, relabel_category
 from codeloom.functions.text import path_basename
 from codeloom.schemas import BENIGN
+from codeloom.session import staged
 
 
 # --- counts -------------------------------------------------------------------------------------
@@ -169,8 +170,14 @@ def exact_percentiles(df: DataFrame, column: str, probs: Sequence[float] = (0.25
     return picked.agg(*[F.max(F.when(F.col("i") == i, value)).alias(f"p{i}") for i in range(len(probs))])
 
 
-def describe_numeric(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max of one column, as one row."""
+def describe_numeric(df: DataFrame, column: str, derived: bool = False) -> DataFrame:
+    """count, mean, sample std, min, quartiles, max of one column, as one row.
+
+    Three passes read the column. Set ``derived`` for one that is costly to compute: it is then
+    computed once and staged as a single column.
+    """
+    if derived:
+        df = staged(df.select(column), "column")
     x = F.col(column).cast("double")
     quartiles = exact_percentiles(df, column).agg(
         F.struct(*[F.max(p).alias(p) for p in ("p0", "p1", "p2")]).alias("q")).scalar()

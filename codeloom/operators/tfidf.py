@@ -10,10 +10,12 @@ def tfidf(df: DataFrame, doc: str, tokens: str, max_terms: int = 3000) -> DataFr
     """(doc, term, weight): raw term count times ln((1 + n) / (1 + df)) + 1, each document scaled to
     length 1, over the ``max_terms`` most frequent terms (ties by term).
 
-    Terms are counted per document before anything is shuffled; the vocabulary has at most
+    Token arrays move once, to the partition of their document, where terms are counted and weights
+    scaled without further shuffles; only term totals travel besides. The vocabulary has at most
     ``max_terms`` rows, so it is broadcast.
     """
-    counts = df.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(
+    by_doc = df.select(doc, F.col(tokens).alias("tokens")).repartition(doc)
+    counts = by_doc.select(doc, F.explode("tokens").alias("term")).groupBy(doc, "term").agg(
         F.count("*").alias("tf"))
     n_docs = df.agg(F.count("*").alias("n")).scalar()
     vocabulary = (

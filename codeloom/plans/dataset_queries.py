@@ -227,7 +227,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
        + _describe_sql("n", "x"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     lengths = statements(spark, sf).filter(X.in_length_band(F.col("context"))).select(F.length("context").alias("x"))
-    return _rounded(stats.describe_numeric(lengths, "x"))
+    return _rounded(stats.describe_numeric(lengths, "x", derived=True))
 
 
 _TOKEN_COUNTS = f"WITH n AS (SELECT len({simple_sql('text')}) AS x FROM documents) "
@@ -239,7 +239,7 @@ def _token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("token_count_stats", _TOKEN_COUNTS + _describe_sql("n", "x"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(stats.describe_numeric(_token_counts(spark, sf), "x"))
+    return _rounded(stats.describe_numeric(_token_counts(spark, sf), "x", derived=True))
 
 
 def _histogram_sql(source: str, x: str) -> str:
@@ -708,7 +708,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     # A glob, so that the table may be one file or a folder of files.
-    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+    at_rest = spark.read.parquet(f"{sf}/{name}.parquet")
+    stream = spark.readStream.schema(at_rest.schema).parquet(f"{sf}/{name}.parque[t]")
+    cores = spark.sparkContext.defaultParallelism
+    return stream.repartition(cores) if at_rest.rdd.getNumPartitions() < cores else stream
 
 
 @query("stream_scan", f"""WITH p AS (SELECT source || '/' || doc_id AS file, {lines_sql("text")} AS parts FROM documents),
