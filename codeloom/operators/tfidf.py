@@ -15,8 +15,9 @@ def tfidf(df: DataFrame, doc: str, tokens: str, max_terms: int = 3000) -> DataFr
     ``max_terms`` rows, so it is broadcast.
     """
     by_doc = df.select(doc, F.col(tokens).alias("tokens")).repartition(doc)
-    counts = by_doc.select(doc, F.explode("tokens").alias("term")).groupBy(doc, "term").agg(
-        F.count("*").alias("tf"))
+    # The outer form: for the inner one Spark would compute the tokens once more to drop empty rows.
+    terms = by_doc.select(doc, F.explode_outer("tokens").alias("term")).filter("term is not null")
+    counts = terms.groupBy(doc, "term").agg(F.count("*").alias("tf"))
     n_docs = df.agg(F.count("*").alias("n")).scalar()
     vocabulary = (
         counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))

@@ -176,7 +176,7 @@ def vectorize_functions(df: DataFrame, code: str = "code", vocab_size: int = 50_
     spark = df.sparkSession
     tokens = df.withColumn("_tokens", code_tokens_c(strip_comments(F.col(code))))
     vocab, merges = bpe_train(
-        tokens.select(F.explode("_tokens").alias("word")), vocab_size=vocab_size, num_merges=num_merges)
+        tokens.select(F.explode_outer("_tokens").alias("word")), vocab_size=vocab_size, num_merges=num_merges)
     encoded = bpe_encode(tokens, "_tokens", vocab, merges, "_ids", max_length)
     longest = encoded.agg(F.max(F.size("_ids"))).first()[0] or 0
     rows = encoded.withColumn("X", pad_ids(F.col("_ids"), longest, side="left")).drop("_tokens", "_ids")
