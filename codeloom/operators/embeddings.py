@@ -30,7 +30,8 @@ def _spelled(word: Column) -> Column:
 
 
 def _symbols(boxed: Column) -> Column:
-    return F.filter(F.split(boxed, f"[{_OPEN}{_CLOSE}]+"), lambda s: s != "")
+    inner = F.substr(boxed, F.lit(2), F.length(boxed) - 2)
+    return F.split(inner, _CLOSE + _OPEN, -1)
 
 
 def _independent_prefix(ranked: Sequence[tuple[str, str, int]], known: set[str], limit: int,
@@ -88,14 +89,13 @@ def bpe_train(words: DataFrame, word: str = "word", vocab_size: int = 50_000, mi
     wanted = num_merges if num_merges is not None else max(0, vocab_size - len(vocab))
     rounds = 0
     while len(merges) < wanted and len(vocab) < vocab_size:
-        parts = table.select(_symbols(F.col("s")).alias("a"), "n").filter(F.size("a") > 1)
-        pairs = F.arrays_zip(
-            F.slice("a", F.lit(1), F.size("a") - 1).alias("l"),
-            F.slice("a", F.lit(2), F.size("a") - 1).alias("r"))
         ranked = [(r.l, r.r, r.c) for r in (
-            parts.select(F.explode(pairs).alias("p"), "n")
+            table.select(_symbols(F.col("s")).alias("a"), "n")
+            .select(F.slice("a", F.lit(1), F.size("a") - 1).alias("l"),
+                    F.slice("a", F.lit(2), F.size("a") - 1).alias("r"), "n")
+            .select(F.explode_outer(F.arrays_zip("l", "r")).alias("p"), "n")
             .groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("n").alias("c"))
-            .filter(F.col("c") >= min_frequency)
+            .filter((F.col("c") >= min_frequency) & F.col("l").isNotNull())
             .orderBy(F.desc("c"), "l", "r").limit(candidates).collect())]
         batch = _independent_prefix(
             ranked, known, min(wanted - len(merges), vocab_size - len(vocab), 64),
