@@ -184,3 +184,150 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = known.groupBy("root").agg(F.min(first).alias("component_id"))
     return rows.join(known.join(ids, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+
+
+# Similar documents. Texts of similarity 0.8 differ in about 15 % of their bits, too many for a short fingerprint.
+WIDE = 8  # 64-bit words of a wide fingerprint
+BLOCK_BITS = 20
+DEALS = 4  # ways to deal the bits into blocks, 25 blocks each
+CROWD = 64  # different fingerprints of a block that are compared in pairs; more are compared with pivots
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> bytes:
+    """SimHash of ``64 * WIDE`` bits: further words come from mixing a shingle's hash."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WIDE)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        digest = xxhash.xxh64_intdigest
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(
+            [0, *ends[:-shingle].tolist()], (ends[shingle - 1:] - 1).tolist())], np.uint64)
+    counts = np.zeros(BITS * WIDE, np.int64)
+    for at in range(0, len(hashes), 4096):  # shingles whose bits are held at a time
+        mixed = hashes[at:at + 4096, None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def expected_distance(similarity: float, bits: int = BITS * WIDE) -> int:
+    """Differing bits of two texts whose shingles have this Jaccard similarity, plus two deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+
+
+def _blocks(wide: list[bytes]) -> np.ndarray:
+    """Block values of fingerprints, one row each, with the block's number in the bits above."""
+    bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)
+    each = bits.shape[1] // BLOCK_BITS
+    weights = (1 << np.arange(BLOCK_BITS)).astype(np.int64)
+    out = []
+    for deal in range(DEALS):
+        order = np.random.default_rng(deal).permutation(bits.shape[1])[:each * BLOCK_BITS]
+        values = bits[:, order].reshape(len(wide), each, BLOCK_BITS).astype(np.int64) @ weights
+        out.append(values | ((np.arange(each) + deal * each) << BLOCK_BITS))
+    return np.concatenate(out, axis=1)
+
+
+def _block_pairs(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sorted rows with equal keys whose short fingerprints are within ``distance``."""
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[heads, len(keys)])
+    small = np.repeat(sizes <= CROWD, sizes)
+    left, right = [], []
+    for step in range(1, int(sizes[sizes <= CROWD].max(initial=1))):
+        a = np.flatnonzero((keys[:-step] == keys[step:]) & small[:-step])
+        if not len(a):
+            break
+        a = a[np.bitwise_count(fps[a] ^ fps[a + step]) <= distance]
+        left.append(a)
+        right.append(a + step)
+    for head, size in zip(heads[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist()):
+        rest = np.arange(head, head + size)
+        while len(rest) > 1:  # each pivot takes its neighbours, so a group of copies needs few pivots
+            near = rest[1:][np.bitwise_count(fps[rest[0]] ^ fps[rest[1:]]) <= distance]
+            left.append(np.full(len(near), rest[0]))
+            right.append(near)
+            rest = np.setdiff1d(rest[1:], near, assume_unique=True)
+    if not left:
+        return ids[:0], ids[:0]
+    a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def similar_documents(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5,
+                      similarity: float = 0.8) -> DataFrame:
+    """Rows ``(key, component_id)``, one for each row of ``df``: groups of texts of high similarity.
+
+    Wide fingerprints are dealt into blocks in several ways, so that texts of the given Jaccard
+    similarity share one with a probability of about 0.98 and more similar ones nearly always; pairs that share a block are
+    verified by the distance of the wide fingerprints. A crowded block compares with pivots, not
+    in pairs: its groups are joined by stars. Nulls, empty texts and repeated rows as in
+    ``near_duplicates``.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def prints(keys: list, texts: list) -> list:
+        wide = [wide_fingerprint(t or b"", shingle) for t in texts]
+        return [keys, [int.from_bytes(xxhash.xxh64_digest(w), "little", signed=True) for w in wide], wide]
+
+    rows = staged(map_rows(df.select(key, text), prints, fields(f"`{key}` {kind}, id long, wide binary"),
+                           binary=(text,)), "wide")
+    distinct = staged(rows.groupBy("id").agg(F.min(key).alias("first"), F.first("wide").alias("wide")), "distinct")
+
+    def blocks(ids: list, wide: list) -> list:
+        keys = _blocks(wide)
+        short = np.frombuffer(b"".join(w[:8] for w in wide), "<i8")
+        n = keys.shape[1]
+        return [keys.ravel(), np.repeat(np.array(ids, np.int64), n), np.repeat(short, n)]
+
+    filed = map_rows(distinct.select("id", "wide"), blocks, fields("key long, id long, fp long"))
+    short_distance = expected_distance(similarity, BITS) + 3
+
+    def start():
+        left: list[np.ndarray] = []
+
+        def pairs(held: np.ndarray) -> list | None:
+            if len(held) < 2:
+                return None
+            keys, ids, fps = (np.ascontiguousarray(c) for c in held.T)
+            return list(_block_pairs(keys, ids, fps.view(np.uint64), short_distance))
+
+        def step(keys: list, ids: list, fps: list) -> list | None:
+            held = np.array([keys, ids, fps], np.int64).T
+            if left:
+                held = np.concatenate([left.pop(), held])
+            tail = int(np.searchsorted(held[:, 0], held[-1, 0]))
+            left.append(held[tail:].copy())
+            return pairs(held[:tail])
+
+        def finish() -> list | None:
+            return pairs(left.pop()) if left else None
+
+        return step, finish
+
+    dealt = filed.repartition("key").sortWithinPartitions("key", "id")
+    candidates = map_rows(dealt, start, fields("a long, b long"), per_task=True).distinct()
+    known = distinct.select("id", "wide")
+    both = candidates.join(known.toDF("a", "wide_a"), "a").join(known.toDF("b", "wide_b"), "b")
+    limit = expected_distance(similarity)
+
+    def verified(a: list, b: list, wide_a: list, wide_b: list) -> list:
+        x, y = (np.frombuffer(b"".join(w), np.uint64).reshape(len(a), -1) for w in (wide_a, wide_b))
+        near = np.bitwise_count(x ^ y).sum(axis=1) <= limit
+        return [np.array(a, np.int64)[near], np.array(b, np.int64)[near]]
+
+    links = map_rows(both.select("a", "b", "wide_a", "wide_b"), verified, fields("a long, b long"))
+    roots = components(links).withColumnRenamed("node", "id")
+    found = distinct.select("id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    ids = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select(key, "id").join(found.join(ids, "root").select("id", "component_id"), "id").select(
+        key, "component_id")
