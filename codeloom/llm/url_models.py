@@ -121,7 +121,7 @@ def score(df: DataFrame, scores: DataFrame, padded: str, key: str) -> DataFrame:
 
 
 def limit(judged: DataFrame) -> DataFrame:
-    """One row ``(bin)``: the lowest bin that best parts accepted from rejected rows of
+    """One row ``(bin)``: the middle of the bins that best part accepted from rejected rows of
     ``judged(total, n, accepted)``; null if a class is missing. At most 801 bins are compared."""
     at = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("total") / F.col("n") / (UNIT // 100)))).cast("int")
     bins = judged.groupBy(at.alias("bin")).agg(
@@ -135,8 +135,10 @@ def limit(judged: DataFrame) -> DataFrame:
         (F.aggregate(F.filter("rows", lambda y: y["bin"] >= x["bin"]), F.lit(0).cast("long"), lambda s, y: s + y["a"])
          * F.col("all_r") + F.aggregate(F.filter("rows", lambda y: y["bin"] < x["bin"]), F.lit(0).cast("long"),
                                         lambda s, y: s + y["r"]) * F.col("all_a")).alias("gain"),
-        (-x["bin"]).alias("low")))
-    best = F.when((F.col("all_a") > 0) & (F.col("all_r") > 0), -F.array_max(gains)["low"])
+        x["bin"].alias("bin")))
+    top = let(gains, lambda g: let(F.filter(g, lambda y: y["gain"] == F.array_max(g)["gain"]), lambda t: F.floor(
+        (F.array_max(t["bin"]) + F.array_min(t["bin"])) / 2)))
+    best = F.when((F.col("all_a") > 0) & (F.col("all_r") > 0), top)
     return whole.select(best.alias("bin"))
 
 

@@ -73,7 +73,7 @@ gains AS (
     FROM (SELECT unnest(range(-{bins}, {bins} + 1)) AS b)),
 best AS (
     SELECT CASE WHEN (SELECT count(*) FROM bins WHERE ok) > 0 AND (SELECT count(*) FROM bins WHERE NOT ok) > 0
-        THEN (SELECT b FROM gains ORDER BY gain DESC, b LIMIT 1) END AS least)
+        THEN (SELECT floor((min(b) + max(b)) / 2)::BIGINT FROM gains WHERE gain = (SELECT max(gain) FROM gains)) END AS least)
 SELECT page_id, host, path, rule,
     coalesce(ruled, CASE WHEN coalesce(total >= least * {cent} * n, TRUE) THEN 'allow' ELSE 'block' END) AS verdict,
     total / n / {unit} AS score
