@@ -146,13 +146,17 @@ def _merged(sketches: DataFrame, width: int) -> bytes:
 
 
 def _candidates(texts: DataFrame, text: str, key: str, window: int, width: int, bits) -> DataFrame:
-    """Windows estimated repeated: rows ``(hi, lo, key, pos)``; ``hi, lo`` are a 128-bit digest of the words."""
+    """Windows estimated repeated: rows ``(hi, lo, key, place)``.
+
+    ``hi, lo`` are a 128-bit digest of the words; ``place`` is the window's start, with a hash of the
+    text above it that tells rows of one key apart.
+    """
     kind = texts.schema[key].dataType.simpleString()
 
-    def kernel(keys: list, bodies: list) -> list:
+    def kernel(keys: list, bodies: list, tags: list) -> list:
         seen = np.frombuffer(bits.value, np.uint8)
         digests, owners, places = [], [], []
-        for owner, body in zip(keys, bodies):
+        for owner, body, tag in zip(keys, bodies, tags):
             words = body.split() if body else ()
             if len(words) < window:
                 continue
@@ -167,17 +171,17 @@ def _candidates(texts: DataFrame, text: str, key: str, window: int, width: int,
                 digests += [hashlib.blake2b(joined[starts[i]:ends[i + window - 1] - 1], digest_size=16).digest()
                             for i in hits]
                 owners += [owner] * len(hits)
-                places += hits
+                places += [tag << 32 | i for i in hits]
         pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         return [np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), owners, places]
 
-    return map_rows(texts.select(key, text), kernel, fields(f"hi long, lo long, `{key}` {kind}, pos int"), binary=(text,))
+    return map_rows(texts.select(key, text, "tag"), kernel, fields(f"hi long, lo long, `{key}` {kind}, place long"), binary=(text,))
 
 
-def _removed(hits: list[int] | None, n: int, window: int) -> np.ndarray:
+def _removed(hits: list[int], n: int, window: int) -> np.ndarray:
     """Flags of the words that the windows starting at ``hits`` cover."""
     edges = np.zeros(n + 1, np.int64)
-    at = np.array(hits or [], np.int64)
+    at = np.array(hits, np.int64)
     np.add.at(edges, at, 1)
     np.add.at(edges, at + window, -1)
     return np.cumsum(edges)[:n] > 0
@@ -194,22 +198,24 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     result; other columns are not read. Texts are moved once, to meet their removed windows.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, text)
+    # A hash of the text tells rows of one key apart.
+    rows = df.select(key, text, F.xxhash64(text).bitwiseAND(0x7FFFFFFF).alias("tag"))
 
-    def outline(keys: list, bodies: list) -> list:
+    def outline(keys: list, bodies: list, tags: list) -> list:
         words = [b.split() if b else [] for b in bodies]
-        return [keys, [len(w) for w in words], [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]]
+        return [keys, tags, [len(w) for w in words], [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]]
 
-    outlines = staged(map_rows(rows, outline, fields(f"`{key}` {kind}, n long, digest binary"), binary=(text,)), "outlines")
+    outlines = staged(map_rows(rows, outline, fields(f"`{key}` {kind}, tag long, n long, digest binary"),
+                               binary=(text,)), "outlines")
     long = outlines.filter((F.col("n") >= window) & F.col(key).isNotNull())
     firsts = long.groupBy("digest").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.first("n").alias("n"))
     firsts = staged(firsts, "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     # Copies: every window of theirs starts in the first document of the sequence.
     copies = long.join(firsts.filter(F.col("last") > F.col("first")).select("digest", "first"), "digest").filter(
-        F.col(key) > F.col("first")).select(key, F.lit(True).alias("copy")).distinct()
+        F.col(key) > F.col("first")).select(key, "tag", F.lit(True).alias("copy")).distinct()
     copies = staged(copies, "copies")
-    texts = rows.filter(F.col(key).isNotNull()).join(copies, key, "left_anti")
+    texts = rows.filter(F.col(key).isNotNull()).join(copies, [key, "tag"], "left_anti")
 
     run = min(RUN, window)
     wanted = CELLS_PER_ANCHOR * 2 * total // (window - run + 2) + 1
@@ -217,22 +223,25 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     spark = df.sparkSession
     bits = spark.sparkContext.broadcast(_merged(_sketches(texts, text, window, width), width))
 
-    windows = staged(_candidates(texts, text, key, window, width, bits), "windows")
-    starts = windows.groupBy("hi", "lo").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter(
-        F.col("last") > F.col("first")).select("hi", "lo", "first")
-    hits = windows.join(starts, ["hi", "lo"]).filter(F.col(key) > F.col("first")).groupBy(key).agg(
-        F.sort_array(F.collect_set("pos")).alias("hits"))  # at most a document's own words
-    marks = hits.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("hits", F.array().cast("array<int>")))
+    # The windows are made again for the join: fewer bytes to write, and a table of first starts of its own
+    # lets adaptive execution split the windows that very many documents share.
+    windows = _candidates(texts, text, key, window, width, bits)
+    starts = staged(windows.groupBy("hi", "lo").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter(
+        F.col("last") > F.col("first")).select("hi", "lo", "first"), "starts")
+    hits = windows.join(starts, ["hi", "lo"]).filter(F.col(key) > F.col("first")).groupBy(
+        key, F.shiftright("place", 32).alias("tag")).agg(F.sort_array(F.collect_set("place")).alias("hits"))  # at most a document's own words
+    marks = hits.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("hits", F.array().cast("array<long>")))
 
     def cut(keys: list, bodies: list, copied: list, hits: list) -> list:
         out = [keys, [], [], []]
         for body, copy, at in zip(bodies, copied, hits):
             words = body.split() if body else []
-            gone = np.ones(len(words), bool) if copy else _removed(at, len(words), window)
+            own = [i & 0xFFFFFFFF for i in at or ()]
+            gone = np.ones(len(words), bool) if copy else _removed(own, len(words), window)
             kept = words if not gone.any() else [w for w, g in zip(words, gone.tolist()) if not g]
             for column, value in zip(out[1:], (len(words), len(words) - len(kept), b" ".join(kept).decode())):
                 column.append(value)
         return out
 
-    return map_rows(rows.join(marks, key, "left").select(key, text, "copy", "hits"), cut,
+    return map_rows(rows.join(marks, [key, "tag"], "left").select(key, text, "copy", "hits"), cut,
                     fields(f"`{key}` {kind}, n_words long, n_removed long, kept string"), binary=(text,))
