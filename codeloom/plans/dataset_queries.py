@@ -106,17 +106,17 @@ voc AS (SELECT token, count(*) AS n FROM tok GROUP BY token)
 """
 
 
-@query("lookup_embeddings", VOCAB + """,
-ix AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS idx FROM voc),
-vec AS (SELECT i.token, embedding FROM embeddings e JOIN ix i ON e.vec_id * 2 = i.idx)
+@query("lookup_embeddings", VOCAB.replace("tok AS", "tok AS MATERIALIZED").replace("voc AS", "voc AS MATERIALIZED") + """,
+ix AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS idx FROM voc),
+vec AS MATERIALIZED (SELECT i.token, embedding FROM embeddings e JOIN ix i ON e.vec_id * 2 = i.idx)
 SELECT ix.idx, ix.token, round(coalesce(CAST(v.embedding[1] AS DOUBLE), 0), 6) AS first,
        round(coalesce(CAST(v.embedding[64] AS DOUBLE), 0), 6) AS last, CAST(64 AS BIGINT) AS dim
-FROM ix LEFT JOIN vec v ON ix.token = v.token WHERE ix.idx < 2000""")
+FROM ix LEFT JOIN vec v ON ix.token = v.token""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     index = embeddings.word_index(_vocabulary(spark, sf))
     known = table(spark, sf, "embeddings").select((F.col("vec_id") * 2).alias("idx"), "embedding")
     vectors = index.join(known, "idx").select("token", F.col("embedding").alias("vector"))
-    found = embeddings.lookup_embeddings(index, vectors, num_words=2000, dim=64)
+    found = embeddings.lookup_embeddings(index, vectors, num_words=1_000_000, dim=64)
     at = lambda i: F.round(F.element_at("vector", i), 6)
     return found.select("idx", "token", at(1).alias("first"), at(64).alias("last"),
                         F.size("vector").cast("bigint").alias("dim"))
@@ -583,6 +583,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         count(out.projects.withColumnRenamed("status", "cwe"), "project"))
 
 
+@query("run_extraction_twice", EXTRACTED + """
+SELECT 'function' AS granularity, project, cwe, count(*) AS n FROM rf GROUP BY ALL
+UNION ALL SELECT 'statement', project, cwe, count(*) FROM rs GROUP BY ALL
+UNION ALL SELECT 'file', 'scanned', '', count(*) FROM c_text
+UNION ALL SELECT 'project', source, 'Complete', 1 FROM (SELECT DISTINCT source FROM documents)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """First the sources of English documents, then all that is left; saved below one root."""
+    root, sources = scratch_path(spark, "runs"), c_sources(spark, sf)
+    english = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id")
+    some = sources.join(english, "doc_id", "left_semi").drop("doc_id")
+    first = extraction.save_extraction(extraction.run_extraction(some, RULES), root)
+    out = extraction.save_extraction(
+        extraction.run_extraction(sources.drop("doc_id"), RULES, scanned=first.scanned), root)
+    count = lambda df, name: df.groupBy("project", "cwe").agg(F.count("*").alias("n")).select(
+        F.lit(name).alias("granularity"), "project", "cwe", "n")
+    files = out.scanned.agg(F.count("*").alias("n")).select(
+        F.lit("file").alias("granularity"), F.lit("scanned").alias("project"), F.lit("").alias("cwe"), "n")
+    return count(out.functions, "function").unionByName(count(out.statements, "statement")).unionByName(
+        count(out.projects.withColumnRenamed("status", "cwe"), "project")).unionByName(files)
+
+
 # --- training and evaluation --------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions.cfunctions import extract_functions
 from codeloom.operators.containment import identified, label_functions
@@ -18,13 +19,17 @@ from codeloom.operators.refine import refine_dataset
 from codeloom.operators.sampling import sample_benign_lines
 from codeloom.schemas import FINDING_COLUMNS
 from codeloom.session import staged
-from codeloom.sources.tables import read_table, replace_table
+from codeloom.sources.tables import read_table, replace_table, table_exists
+
+
+ORDER = {"statements": ["project", "file", "line", "name"], "functions": ["project", "file", "context"]}
 
 
 class Extraction(NamedTuple):
     statements: DataFrame
     functions: DataFrame
     projects: DataFrame
+    scanned: DataFrame
 
 
 def find_statements(sources: DataFrame, rules: Sequence[dict[str, str]]) -> DataFrame:
@@ -59,7 +64,8 @@ def run_extraction(sources: DataFrame, rules: Sequence[dict[str, str]],
                    projects: DataFrame | None = None, scanned: DataFrame | None = None,
                    **options) -> Extraction:
     """The whole job: register projects, take the files still to do, find, label, sample, refine, and
-    mark the projects complete. ``scanned`` lists files (``file``) done before."""
+    mark the projects complete. ``scanned`` lists files (``file``) done before; the result's lists
+    these and the ones done now, whether or not anything was found in them."""
     registered = register_projects(sources.select("project"), projects)
     left = sources
     if projects is not None:
@@ -70,17 +76,36 @@ def run_extraction(sources: DataFrame, rules: Sequence[dict[str, str]],
     findings = staged(find_statements(left, rules), "findings")
     statements, functions = label_sources(left, findings, **options)
     done = left.select("project").distinct().withColumn("status", F.lit(COMPLETE))
+    files = left.select(F.col("path").alias("file"))
+    if scanned is not None:
+        files = files.unionByName(scanned.select("file"))
     return Extraction(
-        refine_dataset(statements, order=["project", "file", "line", "name"]),
-        refine_dataset(functions, order=["project", "file", "context"]),
-        set_status(registered, done))
+        refine_dataset(statements, order=ORDER["statements"]), refine_dataset(functions, order=ORDER["functions"]),
+        set_status(registered, done), files.distinct())
 
 
 def save_extraction(result: Extraction, root: str) -> Extraction:
-    """Write the three tables as new versions below ``root`` and read them back."""
+    """Write the tables as new versions below ``root`` and read them back.
+
+    Statements and functions of earlier runs stay: old and new rows are refined together, which
+    gives what one run over all sources gives. Projects and scanned files replace the old ones,
+    with rows that only the old ones have.
+    """
     spark = result.statements.sparkSession
     saved = []
     for name, df in zip(Extraction._fields, result):
-        replace_table(df, f"{root}/{name}")
-        saved.append(read_table(spark, f"{root}/{name}"))
+        path = f"{root}/{name}"
+        old = load_table(spark, path, df.schema)
+        if old is not None and name in ORDER:
+            df = refine_dataset(old.unionByName(df), order=ORDER[name])
+        elif old is not None:
+            key = "project" if name == "projects" else "file"
+            df = df.unionByName(old.join(df.select(key), key, "left_anti"))
+        replace_table(df, path)
+        saved.append(read_table(spark, path))
     return Extraction(*saved)
+
+
+def load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """A table of an earlier run, None if there is none."""
+    return read_table(spark, path, schema) if table_exists(spark, path) else None

@@ -204,6 +204,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.length("code")).alias("chars"))
 
 
+@query("append_after_replace", FN + """SELECT project, count(*) AS n, sum(length(code))::BIGINT AS chars FROM fn GROUP BY project""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "appended")
+    f = labelled_documents(spark, sf)
+    tables.append_table(f.filter("cwe = 'Benign'"), root, batch="first")
+    tables.replace_table(tables.read_table(spark, root), root)
+    for _again in range(2):  # a repeated batch counts once
+        tables.append_table(f.filter("cwe <> 'Benign'"), root, batch="second")
+    return tables.read_table(spark, root).groupBy("project").agg(
+        F.count("*").alias("n"), F.sum(F.length("code")).alias("chars"))
+
+
 @query("replace_table", FN + "SELECT code, cwe, min(doc_id) AS doc_id FROM fn WHERE cwe <> 'Benign' GROUP BY code, cwe")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "replaced")
@@ -354,11 +366,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.strip_all_whitespace(F.col("text")).alias("code"))
 
 
-@query("strip_comments", C_FILES + r"""
-SELECT file, regexp_replace(regexp_replace(text, '(/\*([^*]|(\*+[^*/]))*\*+/)|(//.*)', '', 'g'), '[\n\t]', '', 'g') AS code
-FROM c_text
+def uncommented_sql(expr: str) -> str:
+    """A block comment runs to the first end mark after its start, a line comment to the line's end."""
+    block, line = r"/\*(?s:.*?)\*/", r"//[^\n]*"
+    return f"translate(regexp_replace({expr}, '{block}|{line}', '', 'g'), chr(10) || chr(9), '')"
+
+
+@query("strip_comments", C_FILES + f"""
+SELECT file, {uncommented_sql("text")} AS code FROM c_text
 UNION ALL
-SELECT url, regexp_replace(regexp_replace(html, '(/\*([^*]|(\*+[^*/]))*\*+/)|(//.*)', '', 'g'), '[\n\t]', '', 'g') FROM pages""")
+SELECT url, {uncommented_sql("html")} FROM pages""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     code = c_sources(spark, sf).select(F.col("path").alias("file"), "text").unionByName(
         table(spark, sf, "pages").select(F.col("url").alias("file"), F.col("html").alias("text")))
@@ -554,15 +571,11 @@ _ID_SQL = "CAST('0x' || md5(project)[1:4] AS BIGINT)"
 
 
 def _known_projects(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest status of the projects that have had an error."""
-    e = project_events(spark, sf)
-    failed = table(spark, sf, "events").filter("event_type = 'error' AND value > 30").select(
-        F.col("user_id").cast("string").alias("project")).distinct()
-    return prj.latest_status(e.join(failed, "project", "left_semi"), "ts", "event_id")
+    """Latest status of the projects that are not complete; the others count as not known yet."""
+    return prj.filter_todo_projects(prj.latest_status(project_events(spark, sf), "ts", "event_id"))
 
 
-KNOWN = LATEST + """, known AS (SELECT * FROM latest WHERE project IN (
-  SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error' AND value > 30))"""
+KNOWN = LATEST + ", known AS (SELECT * FROM latest WHERE status <> 'Complete')"
 
 
 @query("new_projects", KNOWN + """

@@ -119,3 +119,31 @@ def test_tables(spark, tmp_path):
     odd = spark.createDataFrame([('x "q",\n y', "l"), ('x "q",\n y', "l"), (None, "l")], "code string, label string")
     tables.write_dataset_csv(odd, csv)
     assert rows(tables.read_labelled_csv(spark, csv)) == [('x "q",\n y', "l")]
+
+
+def test_appends_after_a_replacement_are_read(spark):
+    from codeloom.session import scratch_path
+    from codeloom.sources import tables
+
+    root = scratch_path(spark, "log")
+    row = lambda p: spark.createDataFrame([(p, 1)], "project string, n int")
+    have = lambda: sorted(r.project for r in tables.read_table(spark, root).collect())
+    tables.append_table(row("007"), root)
+    assert have() == ["007"]
+    tables.replace_table(tables.read_table(spark, root), root)
+    tables.append_table(row("q"), root)
+    tables.append_table(row("r"), root, batch="x")
+    tables.append_table(row("s"), root, batch="x")
+    assert have() == ["007", "q", "s"]
+    tables.replace_table(tables.read_table(spark, root).filter("project <> 'q'"), root)
+    assert have() == ["007", "s"]
+
+
+def test_rules_may_share_group_names_and_be_many(spark):
+    from codeloom.operators.findings import scan_rules
+
+    rule = lambda name, pattern: dict(name=name, pattern=pattern, cwe="CWE-1", level="1", category="c", msg="m")
+    lines = spark.createDataFrame([("f", 1, "call foo(x);"), ("f", 2, "bar bar"), ("f", 3, None)], "file string, line int, context string")
+    rules = [rule("a", r"(?<x>foo)\("), rule("b", r"(?<x>bar) \k<x>"), rule("c", "call")]
+    rules += [rule(f"r{i}", f"never{i}") for i in range(1500)]
+    assert sorted((r.line, r.name) for r in scan_rules(lines, rules).collect()) == [("1", "a"), ("1", "c"), ("2", "b")]
