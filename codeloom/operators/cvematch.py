@@ -7,26 +7,30 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import path_basename
 from codeloom.operators.containment import contained
+from codeloom.session import staged
 
-MAX_PATTERNS = 10_000
+# Patterns that one row of a description tests; more make further rows.
+BLOCK_PATTERNS = 500
 
 
 def projects_in_cve(records: DataFrame, projects: DataFrame, record_id: str = "cve_id",
                     description: str = "description", regex: bool = False) -> DataFrame:
     """(project, in_cve): does any description contain the project's base name, case aside?
 
-    Names are literal text. With ``regex`` they are patterns; then their number is checked and they
-    are tested one by one inside each description row.
+    Names are literal text. With ``regex`` they are patterns, which are data: blocks of them meet the
+    descriptions, and each description tests a block's patterns inside its row.
     """
     names = projects.select("project").distinct().withColumn(
         "_name", F.lower(path_basename(F.col("project"))))
     texts = records.select(record_id, F.lower(description).alias("_text")).filter("_text is not null")
     if regex:
-        patterns = [r[0] for r in names.select("_name").distinct().limit(MAX_PATTERNS + 1).collect()]
-        if len(patterns) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} patterns")
-        tests = F.array(*[F.when(F.rlike("_text", F.lit(p)), F.lit(p)) for p in patterns])
-        found = texts.select(F.explode(F.array_compact(tests)).alias("_name")).distinct()
+        patterns = staged(names.select("_name").distinct(), "patterns")
+        n_blocks = max(1, -(-patterns.count() // BLOCK_PATTERNS))
+        blocks = patterns.groupBy(F.pmod(F.xxhash64("_name"), F.lit(n_blocks)).cast("int").alias("_block")).agg(
+            F.collect_list("_name").alias("_patterns"))
+        asked = texts.select("_text", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"))
+        found = asked.join(blocks, "_block").select(F.explode(F.filter(
+            "_patterns", lambda p: F.rlike("_text", p))).alias("_name")).distinct()
     else:
         found = contained(texts, names, record_id, "_text", "_name").select("_name").distinct()
     found = found.withColumn("_hit", F.lit(True))
