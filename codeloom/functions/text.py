@@ -117,6 +117,7 @@ def char_sequence(c: Column, n: int = 150) -> Column:
 
 def rf_clean_text(c: Column) -> Column:
     """Delete words of one repeated letter, then words of one letter."""
+    # What counts as such a word.
     start, end = f"(?<!{WORD_CHAR})", f"(?!{WORD_CHAR})"
     c = _replace(c, rf"{start}([A-Za-z])\1+{end}", "")
     return _replace(c, f"{start}[A-Za-z]{end}", "")

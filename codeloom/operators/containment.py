@@ -60,7 +60,8 @@ class _Joined:
         h = np.zeros(n, dtype=np.uint64)
         for j in range(k):
             h *= np.uint64(1_000_003)
-            h[:n - j] += self.codes[j:] + np.uint64(1)
+            if j < n:
+                h[:n - j] += self.codes[j:] + np.uint64(1)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -76,6 +77,8 @@ def _sliding(h: np.ndarray, w: int, pick) -> np.ndarray:
     out, width = h.copy(), 1
     while width < w:
         step = min(width, w - width)
+        if step >= len(out):
+            break
         out[:len(out) - step] = pick(out[:len(out) - step], out[step:])
         width += step
     return out
@@ -234,11 +237,11 @@ def contained(texts: DataFrame, passages: DataFrame, text_id: str, text: str, pa
     ``squeeze`` after all whitespace is taken out of the text.
 
     ``text_id`` must be unique per text. With ``keys``, only texts and passages that agree on them
-    are compared. Empty passages occur in every text. A passage set of proven small size is
+    are compared. Empty passages occur in every text, no passage occurs in a null text. A passage set of proven small size is
     broadcast, and texts then are not shuffled at all; any other set meets the texts by shuffles.
     """
     keys = list(keys)
-    texts = texts.select(text_id, *keys, F.col(text).alias("_text"))
+    texts = texts.select(text_id, *keys, F.col(text).alias("_text")).filter("_text IS NOT NULL")
     distinct = passages.select(*keys, passage).filter(F.col(passage).isNotNull()).dropDuplicates()
     wording = distinct.select(passage).dropDuplicates() if keys else distinct
     n, chars = wording.agg(F.count("*"), F.coalesce(F.sum(F.length(passage)), F.lit(0))).first()

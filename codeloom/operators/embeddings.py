@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,17 +200,8 @@ def lookup_embeddings(index: DataFrame, vectors: DataFrame, num_words: int, dim:
     )
 
 
-def index_labels(df: DataFrame, label: str = "label", out: str = "label_index",
-                 max_labels: int = 100_000) -> DataFrame:
-    """Add each label's position among the sorted labels.
-
-    A checked number of labels is ranked in one small window and broadcast; more go by ranges.
-    """
+def index_labels(df: DataFrame, label: str = "label", out: str = "label_index") -> DataFrame:
+    """Add each label's position among the sorted labels, ranked by ranges whatever their number."""
     labels = df.select(label).filter(F.col(label).isNotNull()).distinct()
-    few = labels.limit(max_labels + 1).count() <= max_labels
-    if few:
-        ranked = labels.withColumn("_r", F.row_number().over(Window.orderBy(label)))
-    else:
-        ranked = global_row_number(labels, [F.asc(label)], "_r")
-    ranked = ranked.select(label, (F.col("_r") - 1).cast("int").alias(out))
-    return df.join(F.broadcast(ranked) if few else ranked, label, "left")
+    ranked = global_row_number(labels, [F.asc(label)], "_r")
+    return df.join(ranked.select(label, (F.col("_r") - 1).cast("int").alias(out)), label, "left")

@@ -10,7 +10,8 @@ from codeloom.operators.scale import running_totals
 
 
 def evaluate(df: DataFrame, truth: str, score: str, cut: float = 0.5) -> DataFrame:
-    """One row: n, accuracy, precision, recall, log loss and exact AUC of binary scores.
+    """One row: n, accuracy, precision, recall, log loss and exact AUC of binary scores; the AUC is
+    null if there is one class only, and all but n are null or zero without rows.
 
     Rows are first counted per distinct score, so ranks are only taken over distinct scores.
     """
@@ -20,7 +21,7 @@ def evaluate(df: DataFrame, truth: str, score: str, cut: float = 0.5) -> DataFra
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, fn = num((y == 1) & (pred == 1)), num((y == 0) & (pred == 1)), num((y == 1) & (pred == 0))
     base = df.agg(
-        F.count("*").alias("n"), (num(y == pred) / F.count("*")).alias("accuracy"),
+        F.count("*").alias("n"), F.try_divide(num(y == pred), F.count("*")).alias("accuracy"),
         share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"),
         F.avg(-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("loss"))
     by_score = df.groupBy(F.col(score).alias("_s")).agg(
@@ -28,7 +29,7 @@ def evaluate(df: DataFrame, truth: str, score: str, cut: float = 0.5) -> DataFra
     ranked = running_totals(by_score, [F.asc("_s")], {"_upto": "_neg"})
     # A positive wins against every negative below it, and half against those at its score.
     wins = F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2))
-    auc = ranked.agg(F.struct((wins / (F.sum("_pos") * F.sum("_neg"))).alias("v")).alias("a")).scalar()
+    auc = ranked.agg(F.struct(F.try_divide(wins, F.sum("_pos") * F.sum("_neg")).alias("v")).alias("a")).scalar()
     return base.withColumn("_a", auc).select("*", F.col("_a.v").alias("auc")).drop("_a")
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.scale import seeded_hash, small_side
+from codeloom.operators.scale import seeded_hash
 from codeloom.session import ensure_checkpoint_dir
 
 MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
@@ -148,7 +148,8 @@ def minority_distances(df: DataFrame, label: str, row_id: str, vector: str, k: i
                        block_rows: int = 4096, seed: int = 0) -> tuple[DataFrame, Column, int]:
     """(``row_id``, ``distance``) of every row outside the smallest class, namely the mean distance
     to its k nearest rows of that class; with that class and its size. Ties for smallest go to the
-    lowest label."""
+    lowest label. Rows without a label or a vector take no part."""
+    df = df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull())
     low, n_min, width = (
         df.groupBy(label).agg(F.count("*").alias("_n"), F.max(F.size(vector)).alias("_w"))
         .orderBy("_n", label).limit(1).first())
@@ -196,14 +197,14 @@ def _lowest_per_class(ranked: DataFrame, label: str, row_id: str, n_min: int) ->
         label,
         F.when(lo > 0, F.element_at("_q", lo + 1)).otherwise(F.lit(float("-inf"))).alias("_lo"),
         F.when(hi < 1000, F.element_at("_q", hi + 1)).otherwise(F.lit(float("inf"))).alias("_hi"))
-    near = ranked.join(small_side(bound), label).filter(F.col("distance") <= F.col("_hi"))
+    near = ranked.join(bound, label).filter(F.col("distance") <= F.col("_hi"))
     sure = near.filter(F.col("distance") < F.col("_lo"))
     taken = sure.groupBy(label).agg(F.count("*").alias("_taken"))
     open_rows = near.filter(F.col("distance") >= F.col("_lo"))
     order = Window.partitionBy(label).orderBy("distance", row_id)
     rest = (
         open_rows.withColumn("_rn", F.row_number().over(order))
-        .join(small_side(taken), label, "left")
+        .join(taken, label, "left")
         .filter(F.col("_rn") <= F.lit(n_min) - F.coalesce("_taken", F.lit(0)))
         .drop("_rn", "_taken")
     )

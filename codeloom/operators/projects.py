@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.labels import project_id
 
+# The names of the states.
 NOT_STARTED, IN_PROGRESS, COMPLETE, UNKNOWN = "Not Started", "In Progress", "Complete", "Unknown"
 
 

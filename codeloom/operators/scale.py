@@ -14,14 +14,6 @@ from codeloom.session import ensure_checkpoint_dir
 HASH_SLICES = 1 << 16
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows; else leave it to shuffle.
-
-    The check reads at most ``max_rows + 1`` rows and returns only their number.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def spread_small(df: DataFrame) -> DataFrame:
     """Give costly row work more tasks when the input has fewer splits than there are cores.
 
@@ -55,7 +47,7 @@ def keep_lowest(df: DataFrame, order_hash: Column, wanted: DataFrame,
         .withColumn("__below", F.sum("__n").over(totals) - F.col("__n"))
     )
     if group:
-        per_slice = per_slice.join(small_side(wanted), group)
+        per_slice = per_slice.join(wanted, group)
     else:
         per_slice = per_slice.withColumn("n_wanted", wanted.select("n_wanted").scalar())
     at_limit = (F.col("__below") < F.col("n_wanted")) & (
@@ -68,7 +60,7 @@ def keep_lowest(df: DataFrame, order_hash: Column, wanted: DataFrame,
         F.max("n_wanted").alias("want"))
     packed = F.struct("cut", "want")
     if group:
-        tagged = sliced.join(small_side(limits.select(*group, packed.alias("__limit"))), group)
+        tagged = sliced.join(limits.select(*group, packed.alias("__limit")), group)
     else:
         tagged = sliced.withColumn("__limit", limits.select(packed).scalar())
     tagged = tagged.select(

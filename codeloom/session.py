@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder all executors share")
         root = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set(_CHECKPOINT_CONF, root)

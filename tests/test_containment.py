@@ -93,3 +93,11 @@ def test_projects_in_cve(spark):
         ("data/contiki", True), ("linux-rpi", False), ("x/c++", True)]
     patterns = spark.createDataFrame([("x/cont.ki",), ("y/riot$",)], "project string")
     assert rows(projects_in_cve(records, patterns, regex=True)) == [("x/cont.ki", True), ("y/riot$", False)]
+
+
+def test_null_texts_contain_nothing(spark):
+    texts = spark.createDataFrame([(1, None), (2, "abc")], "id int, text string")
+    passages = spark.createDataFrame([("b",), (None,)], "p string")
+    for bound in (C.MAX_PASSAGES, 0):
+        found = C.contained(texts, passages, "id", "text", "p", max_passages=bound)
+        assert [(r.id, r.p) for r in found.collect()] == [(2, "b")]
