@@ -181,11 +181,13 @@ def word_index(tokens: DataFrame, token: str = "token") -> DataFrame:
 
 
 def train_word2vec(sentences: DataFrame, tokens: str, size: int = 100, window: int = 5,
-                   min_count: int = 5, partitions: int = 1, seed: int = 1, iterations: int = 1,
+                   min_count: int = 5, partitions: int | None = None, seed: int = 1, iterations: int = 1,
                    ) -> Word2VecModel:
-    """Word vectors of a token-array column. More ``partitions`` train in parallel on large data."""
+    """Word vectors of a token-array column, trained in as many tasks as the cluster runs at a time
+    unless ``partitions`` says otherwise."""
+    tasks = partitions or sentences.sparkSession.sparkContext.defaultParallelism
     return Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, numPartitions=partitions, seed=seed,
+        vectorSize=size, windowSize=window, minCount=min_count, numPartitions=tasks, seed=seed,
         maxIter=iterations, inputCol=tokens, outputCol="vector").fit(sentences)
 
 

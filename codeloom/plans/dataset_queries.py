@@ -531,10 +531,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.array_join("ids", ",").alias("ids"))
 
 
-@query("word2vec")
+@query("word2vec", VOCAB + "SELECT token AS word, CAST(100 AS INTEGER) AS dim FROM voc WHERE n >= 5")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(X.simple_tokens(F.col("text")).alias("tokens"))
-    model = embeddings.train_word2vec(d, "tokens", size=16)
+    model = embeddings.train_word2vec(d, "tokens")
     return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("dim"))
 
 
@@ -674,7 +674,7 @@ def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("train_random_forest")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = sampling.train_test_split(_training_rows(spark, sf), "doc_id")
-    model = training.train_random_forest(rows.filter("split = 'train'"), trees=10, terms=300, depth=5)
+    model = training.train_random_forest(rows.filter("split = 'train'"))
     return training.accuracy(model, rows.filter("split = 'test'"))
 
 
@@ -685,7 +685,7 @@ def _id_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("train_dnn")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = _id_rows(spark, sf)
-    model = training.train_dnn(rows.filter("split = 'train'"), "X", "label_index", 2, iterations=5)
+    model = training.train_dnn(rows.filter("split = 'train'"), "X", "label_index", 2)
     return training.predict_ids(model, rows.filter("split = 'test'"), "X").groupBy("label", "prediction").agg(
         F.count("*").alias("n"))
 

@@ -166,7 +166,7 @@ class Vectorized(NamedTuple):
 
 def vectorize_functions(df: DataFrame, code: str = "code", vocab_size: int = 50_000,
                         num_merges: int | None = None, max_length: int = 1024, size: int = 100,
-                        min_count: int = 5, partitions: int = 1) -> Vectorized:
+                        min_count: int = 5, partitions: int | None = None) -> Vectorized:
     """Function text to id arrays, and one vector per id.
 
     Comments are removed, C tokens learn and receive a subword vocabulary, ids are padded with zeros
