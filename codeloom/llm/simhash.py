@@ -190,7 +190,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
 WIDE = 8  # 64-bit words of a wide fingerprint
 BLOCK_BITS = 20
 DEALS = 4  # ways to deal the bits into blocks, 25 blocks each
-CROWD = 64  # different fingerprints of a block that are compared in pairs; more are compared with pivots
+CROWD = 8  # different fingerprints of a block that are compared in pairs; more are compared with pivots
 
 
 def wide_fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> bytes:
