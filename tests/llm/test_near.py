@@ -103,6 +103,53 @@ def test_similar_documents_finds_edited_copies(spark):
     assert all(groups[i] == groups[c] for i, c in got.items())
 
 
+def exact_groups(texts, similarity=0.8):
+    """Least row that each text reaches by pairs of five-word shingle sets, all compared."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= similarity * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def similar_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_near_copies_inside_a_template_are_found(spark):
+    """Documents of one template, alike by some 0.6, a few of which have true near copies."""
+    rnd = random.Random(4)
+    template = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(template)
+        for at in rnd.sample(range(200), 10):
+            words[at] = f"own{i}x{at}"
+        texts.append(" ".join(words))
+        if i % 3 == 0:
+            for c in range(2):
+                copy = list(words)
+                copy[rnd.randrange(200)] = f"edit{i}x{c}"
+                texts.append(" ".join(copy))
+    rnd.shuffle(texts)
+    want = exact_groups(texts)
+    assert len(set(want)) > 40 and similar_groups(spark, texts) == want
+
+
 def test_crowded_block_uses_pivots():
     n = simhash.CROWD + 10
     keys, ids = np.zeros(n, np.int64), np.arange(n)
