@@ -48,8 +48,11 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """After the host up to ``?``, ``#`` or the end; else empty."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    """After the host up to ``?``, ``#`` or the end; else empty. Only the first ``://`` counts."""
+    whole = F.coalesce(url, F.lit(""))
+    at = F.locate("://", whole)
+    rest = F.when(at > 0, F.substring(whole, at + 3, F.length(whole))).otherwise(F.lit(""))
+    return F.regexp_extract(rest, r"(?s)^[^/?#]*(/[^?#]*)", 1)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:

@@ -34,6 +34,12 @@ def test_rules(spark):
     assert (rows[99].host, rows[99].path, rows[99].verdict) == ("", "", "allow") and rows[None].verdict == "block"
 
 
+@pytest.mark.parametrize("url", ["http://a.com?u=http://b.com/en/", "http://a.com#http://b.com/en/"])
+def test_a_later_url_is_no_path(spark, url):
+    row = url_models.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), RULES).first()
+    assert (row.host, row.path, row.rule, row.verdict) == ("a.com", "", None, "allow")
+
+
 def test_models_tell_classes_apart(spark):
     good = [f"http://news.example.org/story/{w}" for w in ("harvest", "garden", "history", "gardens", "harbour")] * 3
     bad = [f"http://win.example.org/xxq/zz{w}qz" for w in ("zq", "qq", "zz", "qz", "xq")] * 3
