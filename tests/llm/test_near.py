@@ -150,6 +150,21 @@ def test_near_copies_inside_a_template_are_found(spark):
     assert len(set(want)) > 40 and similar_groups(spark, texts) == want
 
 
+def test_repeated_phrases_and_near_misses_are_no_duplicates(spark):
+    """Decided by sets of shingles at 0.8, neither by how often one stands there nor by an estimate."""
+    rnd = random.Random(6)
+    own = lambda k: ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(k)]
+    phrase = own(5)
+    texts = [" ".join([*phrase * 10, *own(50)]) for _ in range(2)]
+    for step in (4, 5, 6, 7, 8, 9):  # 200 words, some changed: similarities from 0.67 to 0.86
+        words = own(200)
+        changed = [f"x{i}" if 20 <= i and i % 20 == 0 and i // 20 <= step - 1 else w for i, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(changed)]
+    want = exact_groups(texts)
+    assert want[:2] == [0, 1] and len(want) // 2 < len(set(want)) < len(want)
+    assert similar_groups(spark, texts) == want
+
+
 def test_crowded_block_uses_pivots():
     n = simhash.CROWD + 10
     keys, ids = np.zeros(n, np.int64), np.arange(n)
