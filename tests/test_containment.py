@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import containment as C
 from codeloom.operators.cvematch import projects_in_cve
-from conftest import rows
+from compare import rows
 
 
 def fixture(seed=3):

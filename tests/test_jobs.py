@@ -8,7 +8,7 @@ from codeloom.plans import extraction
 from codeloom.plans.inputs import RULES, c_sources, table
 from codeloom.session import scratch_path
 from codeloom.streaming import scan
-from conftest import rows
+from compare import rows
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 11, 997])

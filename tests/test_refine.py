@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import refine as R
 from codeloom.operators import sampling as S
 from codeloom.operators.scale import global_row_number, running_totals
-from conftest import rows
+from compare import rows
 
 
 def test_refine(spark):

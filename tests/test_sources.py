@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import findings as N
 from codeloom.schemas import FINDING_COLUMNS
 from codeloom.sources import cve, reports, tables, trees
-from conftest import rows
+from compare import rows
 
 CPPCHECK = """<results version="2"><errors>
  <error id="nullPointer" severity="error" msg="Null pointer" verbose="Null pointer" cwe="476" file0="p/a.c">
