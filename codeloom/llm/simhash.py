@@ -16,13 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm import substrings
-from codeloom.llm.common import fields, free_name, map_rows
+from codeloom.llm.common import fields, map_rows
 from codeloom.llm.components import components
 from codeloom.session import staged
 
 BITS = 64
-ALL = (1 << BITS) - 1
+PRINT_SLICE = 1 << 16  # shingles whose bits are unpacked at a time, so that long texts take little memory
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -34,12 +33,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[:-shingle].tolist()]
+    starts = np.r_[0, ends[:-shingle]]
+    stops = ends[shingle - 1:] - 1
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist())]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(over, bitorder="little").view("<u8")[0])
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(starts), PRINT_SLICE):
+        hashes = [digest(joined[a:b], seed) for a, b in zip(
+            starts[at:at + PRINT_SLICE].tolist(), stops[at:at + PRINT_SLICE].tolist())]
+        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -166,7 +169,7 @@ def near_links(prints: DataFrame, distance: int = 3, file_rows: int = FILE_ROWS)
         if not full:
             return links
         level = staged(filed.join(crowded, ["mask", "key"], "left_semi").select("mask", "fp").distinct(), "level")
-    return links
+    raise RuntimeError("files of fingerprints did not get small")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3,
@@ -175,223 +178,15 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
 
     ``component_id`` is the least key reachable by links of at most ``distance`` differing bits.
     Null and empty texts have fingerprint 0 and link like any other; null keys take part, but a
-    component's id is null only if all its keys are; repeated rows give a row each; an empty table
-    gives an empty result; other columns are not read. Only keys and fingerprints are shuffled.
+    component's id is null only if all its keys are; repeated rows give a row each; long texts are read
+    whole; an empty table gives an empty result; other columns are not read, and ``key`` may have any
+    name. Only keys and fingerprints are shuffled.
     """
-    rows = staged(fingerprints(df, text, key, shingle), "fingerprints")
-    first = free_name(rows, "first")
-    distinct = staged(rows.groupBy("fp").agg(F.min(key).alias(first)), "distinct")
+    rows = staged(fingerprints(df.select(F.col(key).alias("own"), F.col(text).alias("body")), "body", "own", shingle),
+                  "fingerprints")
+    distinct = staged(rows.groupBy("fp").agg(F.min("own").alias("first")), "distinct")
     roots = components(near_links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
     known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = known.groupBy("root").agg(F.min(first).alias("component_id"))
-    return rows.join(known.join(ids, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
-
-
-# Different fingerprints of a block that are compared in pairs; more are compared with pivots.
-CROWD = 8
-
-
-def _block_pairs(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sorted rows with equal keys whose short fingerprints are within ``distance``."""
-    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[heads, len(keys)])
-    small = np.repeat(sizes <= CROWD, sizes)
-    left, right = [], []
-    for step in range(1, int(sizes[sizes <= CROWD].max(initial=1))):
-        a = np.flatnonzero((keys[:-step] == keys[step:]) & small[:-step])
-        if not len(a):
-            break
-        a = a[np.bitwise_count(fps[a] ^ fps[a + step]) <= distance]
-        left.append(a)
-        right.append(a + step)
-    for head, size in zip(heads[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist()):
-        rest = np.arange(head, head + size)
-        while len(rest) > 1:  # each pivot takes its neighbours, so a group of copies needs few pivots
-            near = rest[1:][np.bitwise_count(fps[rest[0]] ^ fps[rest[1:]]) <= distance]
-            left.append(np.full(len(near), rest[0]))
-            right.append(near)
-            rest = np.setdiff1d(rest[1:], near, assume_unique=True)
-    if not left:
-        return ids[:0], ids[:0]
-    a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-# Similar documents: an exact join of shingle sets, not of fingerprints.
-CELLS_PER_SHINGLE = 4
-PAIRS_A_ROW = 8  # pairs left for each filed row up to which they are all compared
-MOST_ROUNDS = 6  # of comparing with one neighbour, before all pairs left are compared
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_COUNTED = np.uint64(1 << 63)  # shingles below are counted: half of them tell enough rare ones
-
-
-def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
-    """Sorted hashes of a text's distinct word shingles; a text of fewer words is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h, run = substrings.word_hashes(words), min(shingle, len(words))
-    runs = np.zeros(len(h) - run + 1, np.uint64)
-    for i in range(run):
-        runs = runs * _MIX + h[i:len(h) - run + 1 + i]
-    runs ^= runs >> np.uint64(29)
-    runs *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(runs ^ runs >> np.uint64(32))
-
-
-def _cells(hashes: np.ndarray, width: int) -> np.ndarray:
-    return (hashes * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - width)
-
-
-def _repeated(df: DataFrame, text: str, shingle: int, width: int) -> np.ndarray:
-    """Bits of the cells that counted shingles of two rows or more reach; never too few."""
-    shift = np.uint64(width - substrings.SHARD_BITS)
-
-    def start():
-        held: list[np.ndarray] = []
-
-        def flush() -> list | None:
-            if not held:
-                return None
-            at, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            shard = (at >> shift).astype(np.int64)
-            cut = np.flatnonzero(np.diff(shard)) + 1
-            pieces = [(k[0], c[~a].tobytes(), c[a].tobytes()) for k, c, a in zip(
-                np.split(shard, cut), np.split(at.astype("<u4"), cut), np.split(n > 1, cut)) if len(k)]
-            return [list(c) for c in zip(*pieces)] if pieces else None
-
-        def step(texts: list) -> list | None:
-            for t in texts:
-                hashes = shingle_set(t or b"", shingle)
-                held.append(_cells(hashes[hashes < _COUNTED], width))
-            return flush() if sum(map(len, held)) > 4_000_000 else None
-
-        return step, flush
-
-    sketches = map_rows(df.select(text), start, fields("shard long, once binary, twice binary"),
-                        binary=(text,), per_task=True)
-    return np.frombuffer(substrings._merged(sketches, width), np.uint8)[:(1 << width) // 8]
-
-
-def _least_shared(n: int, similarity: float) -> int:
-    """Shingles that a set of ``n`` must share with any set of this similarity."""
-    return int(np.ceil(similarity * n - 1e-9))
-
-
-def _filed_shingles(hashes: np.ndarray, seen: np.ndarray, width: int, similarity: float) -> np.ndarray:
-    """Shingles a set is filed under: sets of the similarity share one of them at least.
-
-    In an order that all sets share, similar sets meet in their first n - least shared + 1. Those
-    that no other row holds come first in it, and need no filing.
-    """
-    at = _cells(hashes, width)
-    counted = hashes < _COUNTED
-    once = counted & ((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1) == 0)
-    left = len(hashes) - _least_shared(len(hashes), similarity) + 1 - int(once.sum())
-    return hashes[~once][:left] if len(hashes) and left > 0 else hashes[:0]
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` whose shingle sets have a Jaccard similarity of at least ``similarity``."""
-
-    def kernel(a: list, b: list, set_a: list, set_b: list) -> list:
-        near = []
-        for x, y in zip(set_a, set_b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            near.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
-        near = np.array(near, bool)
-        return [np.array(a, np.int64)[near], np.array(b, np.int64)[near]]
-
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(
-        sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return map_rows(both.select("a", "b", "set_a", "set_b"), kernel, fields("a long, b long"))
-
-
-def _neighbours(filed: DataFrame, salt: int) -> DataFrame:
-    """For each row of ``filed(token, id, n, label)`` at most one other of another label under its tokens."""
-    who = F.struct(F.xxhash64(F.lit(salt), "id").alias("h"), "id", "n", "label")
-    ends = filed.groupBy("token").agg(F.min(who).alias("least"), F.max(who).alias("most"))
-    other = F.when(F.col("least.label") != F.col("label"), F.col("least")).when(
-        F.col("most.label") != F.col("label"), F.col("most"))
-    found = filed.join(ends, "token").select("id", "n", other.alias("o")).filter("o IS NOT NULL")
-    return found.groupBy("id").agg(F.min("o").alias("o"), F.first("n").alias("n")).select(
-        F.col("o.id").alias("a"), F.col("id").alias("b"), F.col("o.n").alias("n_a"), F.col("n").alias("n_b"))
-
-
-def _labelled(filed: DataFrame, roots: DataFrame) -> DataFrame:
-    """``filed(token, id, n)`` with labels, less the tokens whose members all have one."""
-    named = filed.select("token", "id", "n").join(
-        roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
-        "token", "id", "n", F.coalesce("root", "id").alias("label"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    return staged(named.join(mixed.select("token"), "token", "left_semi"), "mixed")
-
-
-def _similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` that connect exactly the ``sets(id, n, tokens, shingles)`` of this similarity.
-
-    First rounds compare each set with one that it shares a token with; what is thereby connected
-    need not be compared again, so a group of m near copies costs some m comparisons. Then all pairs
-    left of different labels are compared. Pairs are made by joins, which are split where a token
-    is crowded, and not by a task that holds all of a token's sets.
-    """
-    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - F.lit(1e-6)
-    filed = sets.select("id", "n", F.explode("tokens").alias("token")).withColumn("label", F.col("id"))
-    shared = filed.groupBy("token").count().filter("count > 1").select("token")
-    filed = staged(filed.join(shared, "token", "left_semi"), "filed")
-    links = None
-    for salt in range(MOST_ROUNDS):
-        new = staged(_verified(staged(_neighbours(filed, salt).filter(fits).select("a", "b"), "pairs"), sets,
-                               similarity), "verified")
-        links = new if links is None else links.unionByName(new)
-        filed = _labelled(filed, components(links))
-        sizes = filed.groupBy("token", "label").count().withColumn("c", F.col("count").cast("double"))
-        work, rows = sizes.groupBy("token").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("s")).agg(
-            F.sum((F.col("g") * F.col("g") - F.col("s")) / 2), F.sum("g")).first()
-        if not rows:
-            return links
-        if work <= PAIRS_A_ROW * rows:
-            break
-    one = filed.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    two = filed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    rest = one.join(two, "token").filter("a < b AND label_a <> label_b").filter(fits).select("a", "b").distinct()
-    return links.unionByName(staged(_verified(staged(rest, "pairs"), sets, similarity), "verified"))
-
-
-def similar_documents(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5,
-                      similarity: float = 0.8) -> DataFrame:
-    """Rows ``(key, component_id)``, one for each row of ``df``: groups of texts of high similarity.
-
-    Two texts are linked exactly if their sets of distinct word shingles have at least the given
-    Jaccard similarity; groups are what links connect. Texts that could be so similar share one of
-    their rarest shingles, by which they are found, and each pair is verified by its shingles.
-    Nulls, empty texts and repeated rows as in ``near_duplicates``.
-    """
-    kind = df.schema[key].dataType.simpleString()
-    letters = df.agg(F.sum(F.length(text))).first()[0] or 0
-    width = int(np.clip(np.ceil(np.log2(CELLS_PER_SHINGLE * (letters / 12 + 1))),
-                        substrings.LEAST_WIDTH, substrings.MOST_WIDTH))
-    bits = df.sparkSession.sparkContext.broadcast(_repeated(df, text, shingle, width).tobytes())
-
-    def sets_of(keys: list, texts: list) -> list:
-        seen = np.frombuffer(bits.value, np.uint8)
-        sets = [shingle_set(t or b"", shingle) for t in texts]
-        ids = [int.from_bytes(xxhash.xxh64_digest(s.tobytes()), "little", signed=True) for s in sets]
-        tokens = [_filed_shingles(s, seen, width, similarity) for s in sets]
-        return [keys, ids, list(map(len, sets)), [t.view(np.int64) for t in tokens],
-                [s.tobytes() if len(t) else None for s, t in zip(sets, tokens)]]
-
-    rows = staged(map_rows(df.select(key, text), sets_of, fields(
-        f"`{key}` {kind}, id long, n int, tokens array<long>, shingles binary"), binary=(text,)), "sets")
-    sets = staged(rows.filter("shingles IS NOT NULL").groupBy("id").agg(
-        F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles")), "distinct")
-    roots = components(_similar_links(sets, similarity)).withColumnRenamed("node", "id")
-    distinct = rows.groupBy("id").agg(F.min(key).alias("first"))
-    found = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    ids = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select(key, "id").join(found.join(ids, "root").select("id", "component_id"), "id").select(
-        key, "component_id")
+    ids = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(known.join(ids, "root").select("fp", "component_id"), "fp").select(
+        F.col("own").alias(key), "fp", "component_id")

@@ -82,94 +82,15 @@ def test_near_duplicates_edges(edges, nothing):
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (8, 8), (9, 8), (None, 1)} <= set(got)
     assert len(got) == edges.count() and got.count((6, 6)) == 2
     assert simhash.near_duplicates(nothing).count() == 0
-    assert simhash.similar_documents(nothing).count() == 0
-    assert simhash.similar_documents(edges).count() == edges.count()
-
-
-def test_similar_documents_finds_edited_copies(spark):
-    rnd = random.Random(9)
-    vocabulary = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(400)]
-    rows, groups = [], []
-    for g in range(30):
-        words = rnd.choices(vocabulary, k=rnd.choice([60, 200, 800]))
-        for c in range(3):
-            copy = list(words)
-            for _ in range(len(words) // 100 * c):
-                copy[rnd.randrange(len(copy))] = "changed"
-            rows.append((len(rows), " ".join(copy)))
-            groups.append(g)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert np.mean([got[i] == 3 * g for i, g in enumerate(groups)]) > 0.95
-    assert all(groups[i] == groups[c] for i, c in got.items())
-
-
-def exact_groups(texts, similarity=0.8):
-    """Least row that each text reaches by pairs of five-word shingle sets, all compared."""
-    sets = []
-    for t in texts:
-        w = t.lower().split()
-        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
-    root = list(range(len(sets)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if len(x & sets[j]) >= similarity * len(x | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return [find(i) for i in range(len(sets))]
-
-
-def similar_groups(spark, texts):
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
-    return [got[i] for i in range(len(texts))]
-
-
-def test_near_copies_inside_a_template_are_found(spark):
-    """Documents of one template, alike by some 0.6, a few of which have true near copies."""
-    rnd = random.Random(4)
-    template = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(200)]
-    texts = []
-    for i in range(60):
-        words = list(template)
-        for at in rnd.sample(range(200), 10):
-            words[at] = f"own{i}x{at}"
-        texts.append(" ".join(words))
-        if i % 3 == 0:
-            for c in range(2):
-                copy = list(words)
-                copy[rnd.randrange(200)] = f"edit{i}x{c}"
-                texts.append(" ".join(copy))
-    rnd.shuffle(texts)
-    want = exact_groups(texts)
-    assert len(set(want)) > 40 and similar_groups(spark, texts) == want
-
-
-def test_repeated_phrases_and_near_misses_are_no_duplicates(spark):
-    """Decided by sets of shingles at 0.8, neither by how often one stands there nor by an estimate."""
-    rnd = random.Random(6)
-    own = lambda k: ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(k)]
-    phrase = own(5)
-    texts = [" ".join([*phrase * 10, *own(50)]) for _ in range(2)]
-    for step in (4, 5, 6, 7, 8, 9):  # 200 words, some changed: similarities from 0.67 to 0.86
-        words = own(200)
-        changed = [f"x{i}" if 20 <= i and i % 20 == 0 and i // 20 <= step - 1 else w for i, w in enumerate(words)]
-        texts += [" ".join(words), " ".join(changed)]
-    want = exact_groups(texts)
-    assert want[:2] == [0, 1] and len(want) // 2 < len(set(want)) < len(want)
-    assert similar_groups(spark, texts) == want
-
-
-def test_crowded_block_uses_pivots():
-    n = simhash.CROWD + 10
-    keys, ids = np.zeros(n, np.int64), np.arange(n)
-    a, b = simhash._block_pairs(keys, ids, np.zeros(n, np.uint64), 5)
-    assert len(a) == n - 1 and set(a.tolist()) == {0} and sorted(b.tolist()) == list(range(1, n))
+    for key in ("id", "fp", "first", "root"):
+        named = simhash.near_duplicates(edges.drop(key).withColumnRenamed("doc_id", key), key=key)
+        assert named.columns[0] == key and named.count() == edges.count()
+
+
+def test_long_texts_are_printed_in_slices(monkeypatch):
+    text = " ".join(f"w{i * i % 997}" for i in range(400))
+    monkeypatch.setattr(simhash, "PRINT_SLICE", 37)
+    assert simhash.fingerprint(text.encode()) == slow_print(text)
 
 
 def slow_removal(docs, window):

@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from codeloom.llm import quality_rules
+from codeloom.llm import quality_rules, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 FIXTURE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,11 +41,23 @@ def test_quality_stage(spark, sf):
 def test_duplicate_stage(spark, sf):
     a, b = words(200, 2), words(200, 3)
     edited = a.replace(a.split()[101], "changed", 1)
+    assert (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(edited.encode())).bit_count() <= 3
     docs = rows(b, a, edited, a, b.upper()) + [(7, a, "de", "src1", 5), (9, words(90, 4), None, None, None)] * 2
     kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(docs, FIXTURE), sf)
     assert kept.columns == COLUMNS and sorted(r.doc_id for r in kept.collect()) == [0, 1, 9]
 
 
+def test_duplicate_stage_names_its_row(spark, sf):
+    """Rows of one id with different texts: the choice depends on the rows alone, not on their order."""
+    docs = [(1, words(60, s), "en", "s", 1) for s in range(6)] + [(None, words(60, 9), "en", "s", 1)] * 2
+    picks = set()
+    for part in (docs, docs[::-1]):
+        kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(part, FIXTURE).repartition(3), sf).collect()
+        assert sorted((r.doc_id for r in kept), key=str) == [1, None, None]
+        picks.add(next(r.text for r in kept if r.doc_id == 1))
+    assert len(picks) == 1
+
+
 def test_decontamination_stage(spark, sf):
     item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
     docs = spark.createDataFrame(rows(words(90, 5), f"{words(90, 6)} {item} {words(90, 7)}", None), FIXTURE)
