@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.text import strip_all_whitespace
-from codeloom.schemas import BENIGN
-from codeloom.session import staged
 
 # Shortest passage of each class -> k-gram size. A class with passages of at least n characters
 # needs windows of n - k + 1 k-grams.
@@ -284,45 +282,3 @@ def match_passages(texts: DataFrame, passages: DataFrame, text_id: str, text: st
         passage_id, strip_all_whitespace(F.col(passage)).alias("_norm"))
     found = contained(texts, long_enough, text_id, text, "_norm", squeeze=True)
     return found.join(long_enough, "_norm").select(text_id, passage_id).distinct()
-
-
-def function_id(file: Column, code: Column) -> Column:
-    return F.md5(F.concat_ws("\n", file, code))
-
-
-def identified(functions: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Distinct functions (file, code, *carry) with their id ``_fun``."""
-    return functions.select("file", "code", *carry).withColumn(
-        "_fun", function_id(F.col("file"), F.col("code"))).dropDuplicates(["_fun"])
-
-
-def label_functions(functions: DataFrame, findings: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Label each function by the findings of its file: (file, code, context, cwe, *carry), distinct.
-
-    A finding whose context occurs in the function, whitespace aside, gives its weakness; a function
-    that misses any finding of its file also gets a ``Benign`` row. That second rule only needs
-    numbers: how many findings the file has and how many of them the function matches, so no pair of
-    function and finding is formed for it. ``carry`` names function columns that the file determines.
-
-    Functions may come with the ids of ``identified``; then they are taken to be distinct.
-    """
-    funs = functions if "_fun" in functions.columns else identified(functions, carry)
-    # Read by several steps below, and often the outcome of a costly scan.
-    found = staged(findings.select("file", "context", "cwe").dropDuplicates().withColumn(
-        "_norm", strip_all_whitespace(F.col("context"))), "findings")
-    usable = found.filter(F.length("context") > 1)
-
-    pieces = contained(funs, usable, "_fun", "code", "_norm", keys=["file"], squeeze=True)
-    hits = pieces.join(usable, ["file", "_norm"]).select("_fun", F.struct("context", "cwe").alias("hit"))
-
-    per_file = found.groupBy("file").agg(F.count("*").alias("in_file"))
-    asked = funs.select("_fun", "file").join(per_file, "file").select("_fun", "in_file")
-    marks = hits.unionByName(asked, allowMissingColumns=True).groupBy("_fun").agg(
-        F.collect_list("hit").alias("hits"), F.max("in_file").alias("in_file"))
-    benign = F.array(F.struct(F.lit("").alias("context"), F.lit(BENIGN).alias("cwe")))
-    labels = F.when(F.size("hits") < F.col("in_file"), F.concat("hits", benign)).otherwise(F.col("hits"))
-    return (
-        funs.join(marks.select("_fun", labels.alias("labels")), "_fun")
-        .select("file", "code", *carry, F.inline("labels"))
-        .select("file", "code", "context", "cwe", *carry)
-    )

@@ -207,3 +207,13 @@ def index_labels(df: DataFrame, label: str = "label", out: str = "label_index")
     labels = df.select(label).filter(F.col(label).isNotNull()).distinct()
     ranked = global_row_number(labels, [F.asc(label)], "_r")
     return df.join(ranked.select(label, (F.col("_r") - 1).cast("int").alias(out)), label, "left")
+
+
+def decode_labels(df: DataFrame, index: Column, classes: DataFrame, out: str = "decoded") -> DataFrame:
+    """Add the label of each class position; null where no class has it.
+
+    ``classes`` holds (label, label_index) rows as ``index_labels`` numbers them. For scores or one-hot
+    rows the position is ``argmax``; for a binary model it is ``threshold_scores``.
+    """
+    known = classes.select(F.col("label_index").alias("_index"), F.col("label").alias(out)).distinct()
+    return df.withColumn("_index", index).join(known, "_index", "left").drop("_index")

@@ -37,21 +37,26 @@ def prefix_cwe(df: DataFrame, unknown_for_null: bool = False) -> DataFrame:
     return named.unionByName(bare.select(*df.columns))
 
 
+# Line numbers that are looked up in one row at a time.
+LINE_BLOCK = 4096
+
+
 def attach_context(findings: DataFrame, sources: DataFrame, file: str = "path",
                    text: str = "text") -> DataFrame:
     """The text of line ``line`` (1-based) of each finding's file; ``''`` where there is no such line.
 
-    Files without findings are dropped before their lines are cut.
+    The numbers asked for in a file travel to its row, in blocks of at most ``LINE_BLOCK``, and only the
+    lines asked for leave it.
     """
-    wanted = findings.select("file").distinct()
-    lines = split_statements(
-        sources.select(F.col(file).alias("file"), F.col(text).alias("_text"))
-        .join(wanted, "file", "left_semi"),
-        text="_text", first=1, context="_line_text")
     at = F.col("line").cast("int")
+    wanted = findings.select("file", at.alias("_at")).filter("_at > 0").groupBy(
+        "file", F.floor(F.col("_at") / LINE_BLOCK).alias("_block")).agg(F.collect_set("_at").alias("_wanted"))
+    texts = sources.select(F.col(file).alias("file"), F.col(text).alias("_text")).join(wanted.drop("_block"), "file")
+    pick = lambda lines: F.transform("_wanted", lambda n: F.struct(n.alias("_at"), F.get(lines, n - 1).alias("_line_text")))
+    found = F.transform(F.array(split_lines(F.col("_text"))), pick)[0]  # the text is split once
     return (
         findings.drop("context").withColumn("_at", at)
-        .join(lines.withColumnRenamed("line", "_at"), ["file", "_at"], "left")
+        .join(texts.select("file", F.inline(found)), ["file", "_at"], "left")
         .withColumn("context", F.coalesce("_line_text", F.lit("")))
         .drop("_at", "_line_text")
     )
@@ -133,6 +138,26 @@ def _any_rule(text: Column, rules: Sequence[dict[str, str]]) -> Column:
     return F.rlike(text, F.lit("|".join(f"(?:{p})" for p in patterns)))
 
 
+def _rule_table(rules: Sequence[dict[str, str]]) -> Column:
+    if not rules:
+        raise ValueError("no rules given")
+    return F.from_json(
+        F.lit(json.dumps([{c: r[c] for c in RULE_COLUMNS} for r in rules])),
+        "array<struct<" + ", ".join(f"{c}: string" for c in RULE_COLUMNS) + ">>")
+
+
+def _rule_findings(rows: DataFrame, text: Column, rule: str, tool: str, extra: Sequence[str]) -> DataFrame:
+    """Finding rows (file, line, *extra) of a matched rule; ``text`` is the line."""
+    return rows.select(*[
+        {
+            "file": F.col("file"), "line": F.col("line").cast("string"),
+            "context": text, "tool": F.lit(tool),
+            "name": F.col(f"{rule}.name"), "cwe": F.col(f"{rule}.cwe"), "level": F.col(f"{rule}.level"),
+            "category": F.col(f"{rule}.category"), "msg": F.col(f"{rule}.msg"),
+        }.get(c, F.lit(MISSING)).alias(c)
+        for c in FINDING_COLUMNS], *extra)
+
+
 def scan_rules(lines: DataFrame, rules: Sequence[dict[str, str]], tool: str = "rules") -> DataFrame:
     """Findings for every (line, rule) that matches, from lines (file, line, context, ...).
 
@@ -140,27 +165,31 @@ def scan_rules(lines: DataFrame, rules: Sequence[dict[str, str]], tool: str = "r
     rules are data (one constant array), so plans are as small for thousands of rules as for three.
     Other input columns are passed on.
     """
-    if not rules:
-        raise ValueError("no rules given")
     text = F.col("context")
-    known = F.from_json(
-        F.lit(json.dumps([{c: r[c] for c in RULE_COLUMNS} for r in rules])),
-        "array<struct<" + ", ".join(f"{c}: string" for c in RULE_COLUMNS) + ">>")
-    hits = F.filter(known, lambda r: F.rlike(text, r["pattern"]))
+    hits = F.filter(_rule_table(rules), lambda r: F.rlike(text, r["pattern"]))
     extra = [c for c in lines.columns if c not in FINDING_COLUMNS]
     found = (
         lines.filter(_any_rule(text, rules))
         .select("file", "line", "context", *extra,
                 F.explode(hits).alias("_rule"))
     )
-    return found.select(*[
-        {
-            "file": F.col("file"), "line": F.col("line").cast("string"),
-            "context": trim_space(text), "tool": F.lit(tool),
-            "name": F.col("_rule.name"), "cwe": F.col("_rule.cwe"), "level": F.col("_rule.level"),
-            "category": F.col("_rule.category"), "msg": F.col("_rule.msg"),
-        }.get(c, F.lit(MISSING)).alias(c)
-        for c in FINDING_COLUMNS], *extra)
+    return _rule_findings(found, trim_space(text), "_rule", tool, extra)
+
+
+def findings_in_text(text: Column, rules: Sequence[dict[str, str]]) -> Column:
+    """What ``scan_rules`` finds in the lines of a whole text, as an array of (line, context, rule) in the
+    text's own row; lines count from 1."""
+    known = _rule_table(rules)
+    lines = F.transform(split_lines(text), lambda s, i: F.struct((i + 1).alias("line"), s.alias("raw")))
+    some = F.filter(lines, lambda x: _any_rule(x["raw"], rules))
+    return F.flatten(F.transform(some, lambda x: F.transform(
+        F.filter(known, lambda r: F.rlike(x["raw"], r["pattern"])),
+        lambda r: F.struct(x["line"].alias("line"), trim_space(x["raw"]).alias("context"), r.alias("rule")))))
+
+
+def explode_findings(rows: DataFrame, found: str, tool: str = "rules", extra: Sequence[str] = ()) -> DataFrame:
+    """The findings of a column of ``findings_in_text`` as rows, with the rows' ``file`` and ``extra``."""
+    return _rule_findings(rows.select("file", *extra, F.inline(found)), F.col("context"), "rule", tool, extra)
 
 
 def vulnerable(df: DataFrame) -> DataFrame:

@@ -23,6 +23,13 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def bounded_parts(df: DataFrame, key: str, size: Column, most: int) -> DataFrame:
+    """Rows ``(key, parts)`` for the keys whose sizes sum up to more than ``most``: in how many parts of
+    about that size to deal their rows. Other keys need one part and have no row."""
+    sums = df.groupBy(key).agg(F.sum(size.cast("long")).alias("_size")).filter(F.col("_size") > most)
+    return sums.select(key, F.ceil(F.col("_size") / most).alias("parts"))
+
+
 def seeded_hash(seed: int | str, *cols: str | Column) -> Column:
     """Hex md5 of ``seed:col:col``: one sampling order that every engine can reproduce."""
     parts = [F.lit(str(seed))] + [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import labels as L
 from codeloom.functions import text as X
 from codeloom.functions.cfunctions import extract_functions
-from codeloom.operators import containment, cvematch, embeddings, evaluation, findings, nearmiss
+from codeloom.operators import containment, cvematch, embeddings, evaluation, findings, labelling, nearmiss
 from codeloom.operators import projects as prj
 from codeloom.operators import refine, sampling, stats
 from codeloom.operators.tfidf import tfidf
@@ -21,8 +21,10 @@ from codeloom.plans.inputs import (
 from codeloom.plans.registry import query
 from codeloom.plans.source_queries import CATEGORIES, _categories, simple_sql
 from codeloom.session import scratch_path
+from codeloom.sources import reports
 from codeloom.sources.tables import export_code_label
 from codeloom.streaming import scan
+from codeloom.streaming.buckets import read_buckets
 
 # --- joins --------------------------------------------------------------------------------------
 
@@ -35,7 +37,7 @@ x AS (SELECT s.file, code, context, cwe, length(context) > 1 AND contains(body,
 SELECT DISTINCT file, code, CASE WHEN hit THEN context ELSE '' END AS context,
        CASE WHEN hit THEN cwe ELSE 'Benign' END AS cwe FROM x""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return containment.label_functions(shared_files(spark, sf), shared_findings(spark, sf))
+    return labelling.label_functions(shared_files(spark, sf), shared_findings(spark, sf))
 
 
 @query("match_passages", f"""
@@ -355,12 +357,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _two_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two datasets that overlap: short documents, and English documents."""
+    """Two datasets that overlap and hold every document: short ones, and English or long ones."""
     d = table(spark, sf, "documents").select(F.col("text").alias("code"), F.col("source").alias("label"), "lang", "n_chars")
-    return (d.filter("n_chars < 2500").select("code", "label"), d.filter("lang = 'en'").select("code", "label"))
+    return (d.filter(_LEFT).select("code", "label"), d.filter(_RIGHT).select("code", "label"))
 
 
-_SIDES = f"WITH a AS ({_clean_sql('n_chars < 2500')}), b AS ({_clean_sql(chr(39).join(['lang = ', 'en', '']))}), " + \
+_LEFT, _RIGHT = "n_chars < 2500", "lang = 'en' OR n_chars >= 2500"
+_SIDES = f"WITH a AS ({_clean_sql(_LEFT)}), b AS ({_clean_sql(_RIGHT)}), " + \
     "m AS (SELECT code, min(label) AS label FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY code HAVING count(DISTINCT label) = 1) "
 
 
@@ -377,8 +380,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return refine.datasets_identical(*_two_sides(spark, sf))
 
 
-@query("difference", """
-SELECT DISTINCT text AS code FROM documents WHERE n_chars < 2500 AND text NOT IN (SELECT text FROM documents WHERE lang = 'en')""")
+@query("difference", f"""
+SELECT DISTINCT text AS code FROM documents WHERE {_LEFT} AND text NOT IN (SELECT text FROM documents WHERE {_RIGHT})""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     left, right = _two_sides(spark, sf)
     return refine.difference(left.select("code").distinct(), right, "code")
@@ -486,9 +489,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("decode_labels", """
-SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best FROM embeddings""")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", L.argmax(F.col("embedding")).alias("best"))
+WITH classes AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS i FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+s AS (SELECT vec_id, embedding[1:4] AS v, embedding[1] AS score FROM embeddings),
+t AS (SELECT *, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS best FROM s)
+SELECT vec_id, best, lang AS decoded, CASE WHEN score > 0.05 THEN 'Vulnerable' ELSE 'Benign' END AS binary
+FROM t LEFT JOIN classes ON i = best""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Four scores of a row decoded to a language, and one to a binary label."""
+    langs = table(spark, sf, "documents").select(F.col("lang").alias("label")).filter("label IS NOT NULL").distinct()
+    binary = spark.createDataFrame([("Benign",), ("Vulnerable",)], "label string")
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"), F.col("embedding")[0].alias("score"))
+    e = e.withColumn("best", L.argmax(F.col("v")))
+    e = embeddings.decode_labels(e, F.col("best"), embeddings.index_labels(langs))
+    return embeddings.decode_labels(
+        e, L.threshold_scores(F.col("score"), 0.05), embeddings.index_labels(binary), "binary").select(
+        "vec_id", "best", "decoded", "binary")
 
 
 @query("threshold_scores", "SELECT event_id, CASE WHEN value / 100 > 0.5 THEN 1 ELSE 0 END AS pred FROM events")
@@ -604,6 +619,44 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         count(out.projects.withColumnRenamed("status", "cwe"), "project")).unionByName(files)
 
 
+# The same job with the rules' findings as reports: FlawFinder's with a context, CppCheck's with a line, RATS' without either.
+_REPORTED = C_LINES + """, c_rep AS (
+  SELECT file, project, line, context, cwe FROM c_find WHERE name <> 'tagged'
+  UNION ALL SELECT file, project, line, '-', 'CWE-unknown' FROM c_find WHERE name = 'tagged')""" + EXTRACTED[
+    len(C_LINES):].replace("c_find", "c_rep")
+
+
+@query("extraction_from_reports", _REPORTED + """
+SELECT 'function' AS granularity, project, cwe, count(*) AS n FROM rf GROUP BY ALL
+UNION ALL SELECT 'statement', project, cwe, count(*) FROM rs GROUP BY ALL
+UNION ALL SELECT 'file', 'scanned', '', count(*) FROM c_text
+UNION ALL SELECT 'project', source, 'Complete', 1 FROM (SELECT DISTINCT source FROM documents)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    root, sources = scratch_path(spark, "reports"), c_sources(spark, sf).drop("doc_id")
+    found = findings.scan_rules(findings.split_statements(
+        sources.select(F.col("path").alias("file"), "project", "text"), first=1), RULES)
+    cell = {"File": "file", "Line": "line", "CWEs": "cwe", "Context": "context"}
+    found.filter("name = 'article'").select(*[
+        F.col(cell[n]).alias(n) if n in cell else F.lit("x").alias(n) for n in reports.FLAWFINDER_CSV.fieldNames()
+    ]).write.csv(f"{root}/flawfinder", header=True, quote='"', escape='"', quoteAll=True)
+    at = F.struct(F.col("file").alias("_file"), F.col("line").alias("_line"), F.lit("1").alias("_column"))
+    found.filter("name = 'ending'").select(
+        F.col("name").alias("_id"), F.substring_index("cwe", "-", -1).alias("_cwe"), F.array(at).alias("location"),
+    ).write.format("xml").option("rowTag", "error").option("rootTag", "errors").save(f"{root}/cppcheck")
+    found.filter("name = 'tagged'").select(
+        F.lit("High").alias("severity"), F.array(F.struct(F.col("file").alias("name"), F.array("line").alias("line"))).alias("file"),
+    ).write.format("xml").option("rowTag", "vulnerability").option("rootTag", "rats_output").save(f"{root}/rats")
+    out = extraction.extraction_from_reports(
+        sources, reports.read_flawfinder(spark, f"{root}/flawfinder"), reports.read_cppcheck(spark, f"{root}/cppcheck"),
+        reports.read_rats(spark, f"{root}/rats"))
+    count = lambda df, name: df.groupBy("project", "cwe").agg(F.count("*").alias("n")).select(
+        F.lit(name).alias("granularity"), "project", "cwe", "n")
+    files = out.scanned.agg(F.count("*").alias("n")).select(
+        F.lit("file").alias("granularity"), F.lit("scanned").alias("project"), F.lit("").alias("cwe"), "n")
+    return count(out.functions, "function").unionByName(count(out.statements, "statement")).unionByName(
+        count(out.projects.withColumnRenamed("status", "cwe"), "project")).unionByName(files)
+
+
 # --- training and evaluation --------------------------------------------------------------------
 
 
@@ -748,26 +801,34 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select("file", "line", "cwe", "context")
 
 
+def _in_batches(spark: SparkSession, sf: str, name: str, files: int = 4) -> DataFrame:
+    """A table as a stream of some micro-batches: its rows in so many files, one of them at a time."""
+    at_rest = spark.read.parquet(f"{sf}/{name}.parquet")
+    path = scratch_path(spark, name)
+    at_rest.repartition(files).write.parquet(path)
+    return spark.readStream.schema(at_rest.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_refine", """
 WITH fn AS (SELECT text AS code, CASE WHEN n_chars > 1500 THEN 'CWE-1' ELSE 'Benign' END AS cwe, doc_id, source AS project FROM documents)
 """ + _REFINED.format(key="code", source="fn", order="doc_id"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "refine")
-    rows = _stream(spark, sf, "documents").select(
+    rows = _in_batches(spark, sf, "documents").select(
         F.col("text").alias("code"), F.when(F.col("n_chars") > 1500, "CWE-1").otherwise("Benign").alias("cwe"),
         "doc_id", F.col("source").alias("project"))
-    scan.stream_refine(rows, f"{root}/log", f"{root}/refined", f"{root}/state", 2, ["doc_id"]).awaitTermination()
-    return scan.refine_log(table(spark, sf, "documents"), f"{root}/log", f"{root}/refined", ["doc_id"])
+    scan.stream_refine(rows, f"{root}/refined", f"{root}/state", ["doc_id"], buckets=64).awaitTermination()
+    return read_buckets(spark, f"{root}/refined")
 
 
 @query("stream_status", LATEST + " SELECT project, status FROM latest")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "status")
-    events = _stream(spark, sf, "events").select(
+    events = _in_batches(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("project"), status_of_event(F.col("event_type")).alias("status"),
         "ts", "event_id")
-    scan.stream_status(events, f"{root}/out", f"{root}/state", "ts", "event_id").awaitTermination()
-    return scan.current_status(spark.read.parquet(f"{root}/out"))
+    scan.stream_status(events, f"{root}/out", f"{root}/state", "ts", "event_id", buckets=16).awaitTermination()
+    return scan.current_status(spark, f"{root}/out")
 
 
 @query("latest_status", LATEST + " SELECT project, status FROM latest")

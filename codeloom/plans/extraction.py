@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.functions.cfunctions import extract_functions
-from codeloom.operators.containment import identified, label_functions
+from codeloom.functions.cfunctions import extract_functions, functions_in
+from codeloom.functions.text import has_statement
 from codeloom.operators.findings import (
-    append_benign, filter_statement_context, scan_rules, split_statements)
+    append_benign, attach_context, explode_findings, filter_statement_context, findings_in_text, normalize_findings,
+    prefix_cwe)
+from codeloom.operators.labelling import Matcher, identified, label_functions, squeezed
 from codeloom.operators.projects import (
     COMPLETE, filter_todo_projects, register_projects, remaining_files, set_status)
 from codeloom.operators.refine import refine_dataset
 from codeloom.operators.sampling import sample_benign_lines
-from codeloom.schemas import FINDING_COLUMNS
+from codeloom.schemas import BENIGN, FINDING_COLUMNS
 from codeloom.session import staged
 from codeloom.sources.tables import read_table, replace_table, table_exists
 
@@ -32,11 +38,84 @@ class Extraction(NamedTuple):
     scanned: DataFrame
 
 
-def find_statements(sources: DataFrame, rules: Sequence[dict[str, str]]) -> DataFrame:
-    """Findings of the rules in sources (path, text, project); lines count from 1."""
-    lines = split_statements(
-        sources.select(F.col("path").alias("file"), "project", "text"), first=1)
-    return scan_rules(lines, rules)
+# Rows that the cutting step turns into Python objects at a time.
+_SLICE_ROWS = 64
+
+_FUNCTIONS = T.ArrayType(T.StructType([
+    T.StructField("code", T.StringType()),
+    T.StructField("sample", T.ArrayType(T.StringType())),
+    T.StructField("labels", T.ArrayType(T.StructType([
+        T.StructField("context", T.StringType()), T.StructField("cwe", T.StringType())]))),
+]))
+
+
+def _benign_sample(file: str, code: str, threshold: int, ratio: float, seed: int) -> list[str]:
+    """The lines that ``sample_benign_lines`` takes of a function."""
+    fun = hashlib.md5(f"{file}\n{code}".encode("utf-8", "surrogatepass")).hexdigest()
+    order = sorted((hashlib.md5(f"{seed}:{fun}:{i}".encode()).hexdigest(), line)
+                   for i, line in enumerate(code.splitlines()) if len(line) > threshold)
+    return [re.sub(r"\s+", " ", line).strip() for _, line in order[:int(len(order) * ratio)]]
+
+
+def _labels(matcher: Matcher, code: str) -> list[dict[str, str]]:
+    """One label per weakness, by its least context: refining keeps no other."""
+    hits = matcher.hits(squeezed(code))
+    best: dict[str, str] = {}
+    for context, cwe in map(matcher.findings.__getitem__, hits):
+        best[cwe] = min(best.get(cwe, context), context)
+    if len(hits) < len(matcher.findings):
+        best[BENIGN] = ""
+    return [{"context": context, "cwe": cwe} for cwe, context in best.items()]
+
+
+def cut_and_label(sources: DataFrame, rules: Sequence[dict[str, str]], mark: str = ";", threshold: int = 5,
+                  ratio: float = 0.25, seed: int = 41) -> DataFrame:
+    """(file, project, found, functions) of the sources (path, text, project) in which a rule matches.
+
+    ``found`` is the array of findings; ``functions`` the distinct functions with their labels and, if a
+    finding of the file is a statement, their sampled benign lines. All of it is made inside the row of
+    the source, so its text is read once and never shuffled.
+    """
+    rows = sources.select(
+        F.col("path").alias("file"), "project", "text", findings_in_text(F.col("text"), rules).alias("found"),
+    ).filter(F.size("found") > 0)
+    rows = rows.withColumn("pairs", F.array_distinct(F.transform(
+        "found", lambda x: F.struct(x["context"].alias("context"), x["rule"]["cwe"].alias("cwe")))))
+    schema = T.StructType([*(rows.schema[c] for c in ("file", "project", "found")), T.StructField("functions", _FUNCTIONS)])
+    arrow = to_arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE_ROWS):
+                part = batch.slice(at, _SLICE_ROWS)
+                out = []
+                for file, text, pairs in zip(*(part.column(c).to_pylist() for c in ("file", "text", "pairs"))):
+                    matcher = Matcher((p["context"], p["cwe"]) for p in pairs)
+                    sampled = any(mark in p["context"] for p in pairs)
+                    out.append([
+                        {"code": code, "labels": _labels(matcher, code),
+                         "sample": _benign_sample(file, code, threshold, ratio, seed) if sampled else []}
+                        for code in dict.fromkeys(code for _, code in functions_in(text))])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("file"), part.column("project"), part.column("found"),
+                     pa.array(out, type=arrow.field("functions").type)], schema=arrow)
+
+    return rows.select("file", "project", "text", "found", "pairs").mapInArrow(cut, schema)
+
+
+def _statement_rows(cut: DataFrame, mark: str) -> DataFrame:
+    """Findings with a statement mark, and the sampled benign lines."""
+    marked = cut.withColumn("found", F.filter("found", lambda x: has_statement(x["context"], mark)))
+    lines = cut.select("file", "project", F.explode("functions.sample").alias("s")).select(
+        "file", "project", F.explode("s").alias("context"))
+    benign = lines.select(
+        "file", "project", F.lit("unknown").alias("line"), "context", F.lit(BENIGN).alias("cwe"), F.lit("sampling").alias("tool"))
+    return append_benign(explode_findings(marked, "found", extra=["project"]), benign)
+
+
+def _function_rows(cut: DataFrame) -> DataFrame:
+    return cut.select("file", "project", F.inline("functions")).select(
+        "file", "code", "project", F.inline("labels")).select("file", "code", "context", "cwe", "project")
 
 
 def label_sources(sources: DataFrame, findings: DataFrame, mark: str = ";", threshold: int = 5,
@@ -73,8 +152,32 @@ def run_extraction(sources: DataFrame, rules: Sequence[dict[str, str]],
     if scanned is not None:
         left = remaining_files(left.withColumnRenamed("path", "file"), scanned).withColumnRenamed(
             "file", "path")
-    findings = staged(find_statements(left, rules), "findings")
-    statements, functions = label_sources(left, findings, **options)
+    cut = staged(cut_and_label(left, rules, **options), "cut")
+    statements, functions = _statement_rows(cut, options.get("mark", ";")), _function_rows(cut)
+    return _extraction(left, registered, scanned, statements, functions)
+
+
+def extraction_from_reports(sources: DataFrame, flawfinder: DataFrame | None = None, cppcheck: DataFrame | None = None,
+                            rats: DataFrame | None = None, projects: DataFrame | None = None, rats_context: bool = False,
+                            **options) -> Extraction:
+    """The whole job with the findings of analyzers in place of rules; reports as their readers give them.
+
+    CppCheck's weaknesses get their prefix and its findings the line they point at, RATS' findings
+    only with ``rats_context`` (without one they label nothing); then all have one schema. Findings in
+    files that ``sources`` (path, text, project) lacks are left out.
+    """
+    if cppcheck is not None:
+        cppcheck = attach_context(prefix_cwe(cppcheck), sources)
+    if rats is not None and rats_context:
+        rats = attach_context(rats, sources)
+    known = sources.select(F.col("path").alias("file"), "project").distinct()
+    findings = staged(normalize_findings(flawfinder, cppcheck, rats).join(known, "file"), "findings")
+    statements, functions = label_sources(sources, findings, **options)
+    return _extraction(sources, register_projects(sources.select("project"), projects), None, statements, functions)
+
+
+def _extraction(left: DataFrame, registered: DataFrame, scanned: DataFrame | None, statements: DataFrame,
+                functions: DataFrame) -> Extraction:
     done = left.select("project").distinct().withColumn("status", F.lit(COMPLETE))
     files = left.select(F.col("path").alias("file"))
     if scanned is not None:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -22,42 +23,71 @@ from codeloom.plans.registry import query
 from codeloom.plans.training import train_random_forest
 from codeloom.schemas import FINDING_COLUMNS
 from codeloom.session import scratch_path
-from codeloom.sources import cve, reports, tables, trees
+from codeloom.sources import archives, cve, reports, tables, trees
 
 # --- sources ------------------------------------------------------------------------------------
 
-SUFFIX_SQL = r"lower(regexp_extract(url, '[^/]\.([^./]+)$', 1))"
-
-
-@query("read_source_tree", f"""
-SELECT page_id, url AS path, {SUFFIX_SQL} AS lang FROM pages WHERE {SUFFIX_SQL} IN ('html', 'c', 'h')""")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
-    return trees.filter_sources(files, "path", ["html", "c", "h"])
-
-
-def _zip_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            box = io.BytesIO()
-            with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr(f"src/d{doc_id}.C", text)
-                archive.writestr("README", "none")
-                archive.writestr(f"inc/d{doc_id}.h", "int use(int);")
-            yield pd.DataFrame({"path": [f"d{doc_id}.zip"], "content": [box.getvalue()]})
+def _written(rows: DataFrame, root: str, pack: Callable[..., bytes] | None = None) -> None:
+    """Write files below ``root`` from rows (path, content), or (path, ids, texts) packed into one archive each.
+
+    A task that is repeated writes the same files again.
+    """
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, *cells in batch.itertuples(index=False, name=None):
+                target = f"{root}/{path}"
+                if target.startswith(("/", "file:")):
+                    os.makedirs(os.path.dirname(target.removeprefix("file://").removeprefix("file:")), exist_ok=True)
+                with archives.open_file(target, "wb") as file:
+                    file.write(cells[0].encode() if pack is None else pack(*cells))
+            yield batch[["path"]]
+
+    rows.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
+@query("read_source_tree", """
+SELECT source || '/f' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.c' ELSE '.H' END AS file,
+       CASE doc_id % 3 WHEN 0 THEN 'c' ELSE 'h' END AS lang, 'unit' AS project, length(text) AS n_chars, md5(text) AS digest
+FROM documents WHERE doc_id % 3 < 2""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of a folder, every third of a kind that is no source."""
+    root = scratch_path(spark, "tree")
+    suffix = F.element_at(F.array(F.lit(".c"), F.lit(".H"), F.lit(".txt")), (F.col("doc_id") % 3 + 1).cast("int"))
+    _written(table(spark, sf, "documents").select(
+        F.concat("source", F.lit("/f"), F.col("doc_id").cast("string"), suffix).alias("path"), "text"), root)
+    files = trees.read_source_tree(spark, root, "unit")
+    return files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), "lang", "project",
+                        F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def _packed(ids: list[int], texts: list[str]) -> bytes:
+    """An archive of three entries per text, packed in turn by each method."""
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as archive:
+        archive.mkdir("src")
+        for doc_id, text in zip(ids, texts):
+            method = (zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)[doc_id % 4]
+            archive.writestr(f"src/d{doc_id}.C", text, method)
+            archive.writestr(f"README{doc_id}", "none")
+            archive.writestr(f"inc/d{doc_id}.h", "int use(int);")
+    return box.getvalue()
 
 
 @query("read_zip_sources", """
-SELECT 'd' || doc_id || '.zip' AS archive, 'src/d' || doc_id || '.C' AS path, 'c' AS lang,
+SELECT 'a' || (doc_id // 64) || '.zip' AS archive, 'src/d' || doc_id || '.C' AS path, 'c' AS lang,
        length(text) AS n_chars, md5(text) AS digest FROM documents
 UNION ALL
-SELECT 'd' || doc_id || '.zip', 'inc/d' || doc_id || '.h', 'h', 13, md5('int use(int);') FROM documents""")
+SELECT 'a' || (doc_id // 64) || '.zip', 'inc/d' || doc_id || '.h', 'h', 13, md5('int use(int);') FROM documents""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    archives = table(spark, sf, "documents").select("doc_id", "text").mapInPandas(
-        _zip_documents, "path string, content binary")
-    text = trees.decode_source(F.col("content"))
-    return trees.filter_sources(trees.unzip_entries(archives), "path").select(
-        "archive", "path", "lang", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest"))
+    """Archives of 64 neighbouring documents each, read in ranges of a few entries."""
+    root = scratch_path(spark, "archives")
+    boxes = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("b")).agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    _written(boxes.select(F.concat(F.lit("a"), F.col("b").cast("string"), F.lit(".zip")).alias("path"), "d.doc_id", "d.text"),
+             root, _packed)
+    return trees.read_zip_sources(spark, f"{root}/*.zip", range_bytes=20_000).select(
+        F.substring_index("archive", "/", -1).alias("archive"), "path", "lang",
+        F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query("decode_source", "SELECT doc_id, md5(text) AS from_utf8, md5(text) AS from_latin1 FROM documents")
@@ -353,12 +383,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fnd.attach_context(asked, f, "file", "code")
 
 
+def _rule_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the example rules in the C files."""
+    sources = c_sources(spark, sf).select(F.col("path").alias("file"), "project", "text")
+    return fnd.scan_rules(fnd.split_statements(sources, first=1), RULES)
+
+
 @query("scan_rules", C_LINES + """
 SELECT file, CAST(line AS VARCHAR) AS line, context, name, cwe, level, category, msg, project, 'rules' AS tool
 FROM c_find""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    from codeloom.plans.extraction import find_statements
-    return find_statements(c_sources(spark, sf), RULES).select(
+    return _rule_rows(spark, sf).select(
         "file", "line", "context", "name", "cwe", "level", "category", "msg", "project", "tool")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import path_suffix
+from codeloom.sources.archives import RANGE_BYTES, archive_paths, entry_ranges, read_ranges
 
 # Suffixes read as C or C++.
 C_SUFFIXES = ["c", "c++", "cpp", "cxx", "cp", "h"]
@@ -48,36 +46,22 @@ def read_source_tree(spark: SparkSession, root: str, project: str | None = None,
     )
 
 
-_ENTRY_SCHEMA = "archive string, path string, content binary"
-_BATCH_BYTES = 32 << 20
+def unzip_entries(archives: DataFrame, path: str = "path", wanted: Iterable[str] | None = None,
+                  range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """One row per file inside each ZIP archive whose path is given: archive, path, content.
 
-
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows, held = [], 0
-    for batch in batches:
-        for archive, content in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-            with zipfile.ZipFile(io.BytesIO(content)) as box:
-                for info in box.infolist():
-                    if info.is_dir():
-                        continue
-                    data = box.read(info)
-                    rows.append((archive, info.filename, data))
-                    held += len(data)
-                    if held >= _BATCH_BYTES:
-                        yield pd.DataFrame(rows, columns=["archive", "path", "content"])
-                        rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(rows, columns=["archive", "path", "content"])
-
-
-def unzip_entries(archives: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """One row per file inside each ZIP archive; output is handed on in bounded batches."""
-    return archives.select(path, content).mapInPandas(_entries, _ENTRY_SCHEMA)
+    With ``wanted`` suffixes only those entries are read. Directories of archives are read first, then
+    their entries by seek, in ranges of about ``range_bytes`` that are dealt to all tasks.
+    """
+    ranges = entry_ranges(archives, path, range_bytes)
+    if wanted is not None:
+        ranges = ranges.withColumn("entries", F.filter(
+            "entries", lambda e: language_of(e["path"], wanted) != "unknown")).filter(F.size("entries") > 0)
+    return read_ranges(ranges)
 
 
 def read_zip_sources(spark: SparkSession, paths: str | list[str],
-                     allowed: Iterable[str] = C_SUFFIXES) -> DataFrame:
+                     allowed: Iterable[str] = C_SUFFIXES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Source files inside ZIP archives: archive, path, lang, content, text."""
-    archives = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return filter_sources(unzip_entries(archives), "path", allowed).withColumn(
-        "text", decode_source(F.col("content")))
+    entries = unzip_entries(archive_paths(spark, paths), wanted=allowed, range_bytes=range_bytes)
+    return filter_sources(entries, "path", allowed).withColumn("text", decode_source(F.col("content")))

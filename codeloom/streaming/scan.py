@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.findings import scan_rules, split_statements
 from codeloom.operators.refine import refine_dataset
-from codeloom.sources.tables import read_table, replace_table
+from codeloom.streaming.buckets import BUCKETS, read_buckets, update_buckets
 
 
 def stream_scan(sources: DataFrame, rules: Sequence[dict[str, str]], out: str, checkpoint: str,
@@ -27,19 +27,18 @@ def stream_scan(sources: DataFrame, rules: Sequence[dict[str, str]], out: str, c
     )
 
 
-def stream_refine(rows: DataFrame, log: str, refined: str, checkpoint: str, refine_every: int = 1,
-                  order: Sequence[str] = ()):
-    """Keep a refined table up to date with a stream of labelled rows.
+def stream_refine(rows: DataFrame, refined: str, checkpoint: str, order: Sequence[str] = (),
+                  buckets: int = BUCKETS):
+    """Keep a refined table (see ``read_buckets``) up to date with a stream of labelled rows.
 
-    Each micro-batch is refined and logged under its number. Every ``refine_every`` batches the log
-    is refined into a new version of the table; call ``refine_log`` at the end for what is left.
-    Refining is idempotent and drops no label that could still matter, so refining parts first does
-    not change the outcome.
+    Each micro-batch is refined together with what is in the buckets of its keys; other buckets are
+    neither read nor written. Refining is idempotent and drops no label that could still matter, so
+    refining parts first does not change the outcome.
     """
     def on_batch(batch: DataFrame, number: int) -> None:
-        refine_dataset(batch, order).write.mode("overwrite").parquet(f"{log}/batch={number}")
-        if (number + 1) % refine_every == 0:
-            refine_log(batch, log, refined, order)
+        key = "code" if "code" in batch.columns else "context"
+        update_buckets(refine_dataset(batch, order), refined, number, key, lambda fresh, old: (
+            fresh if old is None else refine_dataset(old.unionByName(fresh), order)), buckets)
 
     return (
         rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
@@ -47,18 +46,19 @@ def stream_refine(rows: DataFrame, log: str, refined: str, checkpoint: str, refi
     )
 
 
-def refine_log(any_df: DataFrame, log: str, refined: str, order: Sequence[str] = ()) -> DataFrame:
-    spark = any_df.sparkSession
-    replace_table(refine_dataset(spark.read.parquet(log).drop("batch"), order), refined)
-    return read_table(spark, refined)
-
-
-def stream_status(events: DataFrame, out: str, checkpoint: str, *order: str):
-    """Latest status per project as running state; each batch writes the projects that changed."""
+def stream_status(events: DataFrame, out: str, checkpoint: str, *order: str, buckets: int = BUCKETS):
+    """Latest status per project as running state, kept in a table: each batch rewrites the buckets of
+    the projects that changed."""
     state = events.groupBy("project").agg(F.max_by("status", F.struct(*order)).alias("status"))
 
+    def newest(fresh: DataFrame, old: DataFrame | None) -> DataFrame:
+        if old is None:
+            return fresh
+        both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+        return both.groupBy("project").agg(F.max_by("status", "_new").alias("status"))
+
     def on_batch(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        update_buckets(batch, out, number, "project", newest, buckets)
 
     return (
         state.writeStream.outputMode("update").foreachBatch(on_batch)
@@ -66,6 +66,6 @@ def stream_status(events: DataFrame, out: str, checkpoint: str, *order: str):
     )
 
 
-def current_status(changes: DataFrame) -> DataFrame:
-    """Newest state of each project from the batches that ``stream_status`` wrote."""
-    return changes.groupBy("project").agg(F.max_by("status", "batch").alias("status"))
+def current_status(spark: SparkSession, out: str) -> DataFrame:
+    """State of each project as ``stream_status`` keeps it; its cost follows the projects, not the batches."""
+    return read_buckets(spark, out, "project string, status string")

@@ -47,44 +47,6 @@ def test_hot_passages_share_their_anchor(spark):
         assert sorted(r["part"] for r in got.collect()) == sorted(p for (p,) in passages[::2])
 
 
-FUNS = [("a.c", "int f(){ gets(s); }"), ("a.c", "int g(){ return 0; }"), ("b.c", "int h(){}")]
-
-
-def label(spark, findings):
-    return rows(C.label_functions(
-        spark.createDataFrame(FUNS, "file string, code string"),
-        spark.createDataFrame(findings, "file string, context string, cwe string")))
-
-
-def test_label_functions(spark):
-    got = label(spark, [("a.c", "gets( s );", "CWE-120"), ("a.c", "return 1;", "CWE-20")])
-    assert got == sorted([
-        (*FUNS[0], "gets( s );", "CWE-120"), (*FUNS[0], "", "Benign"), (*FUNS[1], "", "Benign")], key=repr)
-
-
-def test_label_functions_edges(spark):
-    assert label(spark, [("a.c", "-", "CWE-1")]) == sorted(
-        [(*FUNS[0], "", "Benign"), (*FUNS[1], "", "Benign")], key=repr)
-    # Blank contexts of two or more characters occur everywhere; one finding matched by all.
-    assert label(spark, [("b.c", "  ", "CWE-1")]) == [(*FUNS[2], "  ", "CWE-1")]
-
-
-def test_label_functions_equals_all_pairs(spark):
-    texts, passages = fixture(5)
-    funs = [(f, b) for f, _, b in texts] * 2
-    finds = [(f, p, "CWE-%d" % (i % 4)) for i, (f, p) in enumerate(passages)] + [(f, p, "CWE-9") for f, p in passages[:20]]
-    want = set()
-    for file, code in funs:
-        for f, context, cwe in finds:
-            if f == file:
-                hit = len(context) > 1 and "".join(context.split()) in "".join(code.split())
-                want.add((file, code, context, cwe) if hit else (file, code, "", "Benign"))
-    got = C.label_functions(
-        spark.createDataFrame(funs, "file string, code string"),
-        spark.createDataFrame(finds, "file string, context string, cwe string"))
-    assert rows(got) == sorted(want, key=repr)
-
-
 def test_projects_in_cve(spark):
     records = spark.createDataFrame([("1", "Flaw in Contiki 2.4"), ("2", "GCC C++ front end"), ("3", None)],
                                     "cve_id string, description string")

@@ -7,6 +7,7 @@ from codeloom.operators.refine import refine_dataset
 from codeloom.plans import extraction
 from codeloom.plans.inputs import RULES, c_sources, table
 from codeloom.session import scratch_path
+from codeloom.streaming import buckets as B
 from codeloom.streaming import scan
 from compare import rows
 
@@ -56,17 +57,73 @@ def test_stream_takes_new_files_only(spark, tmp_path):
     assert run() == ["a.c", "b.c"]
 
 
+PARTS = [[("x", "Benign", 1), ("y", "Benign", 2)], [("x", "CWE-1", 3)], [("x", "Benign", 4), ("z", "-", 5), ("z", "Benign", 6)]]
+SCHEMA = "code string, cwe string, id int"
+
+
 def test_stream_refine_equals_batch(spark, tmp_path):
-    inbox, log, refined, state = (str(tmp_path / x) for x in ("in", "log", "refined", "state"))
-    parts = [[("x", "Benign", 1), ("y", "Benign", 2)], [("x", "CWE-1", 3)], [("x", "Benign", 4), ("z", "-", 5), ("z", "Benign", 6)]]
-    schema = "code string, cwe string, id int"
-    for part in parts:
-        spark.createDataFrame(part, schema).write.mode("append").parquet(inbox)
+    inbox, refined, state = (str(tmp_path / x) for x in ("in", "refined", "state"))
+    for part in PARTS:
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(inbox)
+        scan.stream_refine(stream, refined, state, order=["id"], buckets=4).awaitTermination()
+    batch = refine_dataset(spark.createDataFrame(sum(PARTS, []), SCHEMA), ["id"])
+    assert rows(B.read_buckets(spark, refined).select("code", "cwe", "id")) == rows(batch.select("code", "cwe", "id"))
+
+
+def _merged(fresh, old):
+    return refine_dataset(fresh if old is None else old.unionByName(fresh), ["id"])
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "t")
+    many = spark.range(300).select(F.concat(F.lit("k"), "id").alias("code"), F.lit("Benign").alias("cwe"), F.col("id").cast("int").alias("id"))
+    B.update_buckets(many, root, 0, "code", _merged, buckets=32)
+    one = spark.createDataFrame([("k7", "CWE-1", 999)], SCHEMA)
+    B.update_buckets(one, root, 1, "code", _merged, buckets=32)
+    assert len(B._folders(spark, f"{root}/batch=1", "_bucket")) == 1
+    newest = B.newest_buckets(spark, root)
+    assert len(newest) == 32 and sum("batch=1/" in p for p in newest.values()) == 1
+    assert spark.read.parquet(f"{root}/batch=1").count() < 60
+    want = {(f"k{i}", "Benign") for i in range(300)} - {("k7", "Benign")} | {("k7", "CWE-1")}
+    assert {(r.code, r.cwe) for r in B.read_buckets(spark, root).collect()} == want
+
+
+def test_a_repeated_batch_starts_from_the_same_state(spark, tmp_path):
+    """A batch that ran half, or whole, and runs again leaves one copy; one that never ended is not seen."""
+    root = str(tmp_path / "t")
+    frames = [spark.createDataFrame(p, SCHEMA) for p in PARTS]
+    B.update_buckets(frames[0], root, 0, "code", _merged, buckets=2)
+    for _ in range(2):
+        B.update_buckets(frames[1], root, 1, "code", _merged, buckets=2)
+    half = tmp_path / "t" / "batch=2" / "_bucket=0"
+    half.mkdir(parents=True)
+    (half / "part-0.parquet").write_bytes(b"not finished")
+    assert {(r.code, r.cwe) for r in B.read_buckets(spark, root).collect()} == {("x", "CWE-1"), ("y", "Benign")}
+    B.update_buckets(frames[2], root, 2, "code", _merged, buckets=2)
+    want = refine_dataset(spark.createDataFrame(sum(PARTS, []), SCHEMA), ["id"])
+    assert rows(B.read_buckets(spark, root).select("code", "cwe", "id")) == rows(want.select("code", "cwe", "id"))
+
+
+def test_replaced_buckets_are_deleted(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for number in range(6):
+        B.update_buckets(spark.createDataFrame([("x", "CWE-1", number)], SCHEMA), root, number, "code", _merged, buckets=4, keep=2)
+    B.update_buckets(spark.createDataFrame([("other", "CWE-1", 1)], SCHEMA), root, 6, "code", _merged, buckets=4, keep=2)
+    assert len(B._folders(spark, root, "batch")) <= 4
+    assert {(r.code, r.id) for r in B.read_buckets(spark, root).collect()} == {("x", 0), ("other", 1)}
+
+
+def test_stream_status_reads_projects_not_batches(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "project string, status string, ts int"
+    assert scan.current_status(spark, out).count() == 0
+    for ts in range(5):
+        spark.createDataFrame([(f"p{ts % 2}", f"s{ts}", ts)], schema).coalesce(1).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-        scan.stream_refine(stream, log, refined, state, refine_every=2, order=["id"]).awaitTermination()
-    got = scan.refine_log(spark.range(1), log, refined, ["id"])
-    batch = refine_dataset(spark.createDataFrame(sum(parts, []), schema), ["id"])
-    assert rows(got.select("code", "cwe", "id")) == rows(batch.select("code", "cwe", "id"))
+        scan.stream_status(stream, out, state, "ts", buckets=2).awaitTermination()
+    assert rows(scan.current_status(spark, out)) == [("p0", "s4"), ("p1", "s3")]
+    assert len(B.newest_buckets(spark, out)) <= 2
 
 
 def test_status(spark):

@@ -1,11 +1,12 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import findings as N
 from codeloom.schemas import FINDING_COLUMNS
-from codeloom.sources import cve, reports, tables, trees
+from codeloom.sources import archives, cve, reports, tables, trees
 from compare import rows
 
 CPPCHECK = """<results version="2"><errors>
@@ -78,6 +79,60 @@ def test_source_tree_and_archives(spark, tmp_path):
         ("d/a.cpp", "cpp", "int a;")]
 
 
+def test_archives_are_read_in_ranges(spark, tmp_path):
+    """One archive with every packing method goes to several tasks; what nobody wants is not unpacked."""
+    body = {f"src/f{i}.c": f"int f{i};" * (i + 1) for i in range(40)}
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.mkdir("src")
+        for i, (name, text) in enumerate(body.items()):
+            z.writestr(name, text, (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)[i % 4])
+        z.writestr("src/empty.h", "")
+        z.writestr("big.bin", bytes(1000))
+    path = str(tmp_path / "z.zip")
+    ranges = archives.entry_ranges(archives.archive_paths(spark, path), range_bytes=300)
+    assert ranges.count() > 5 and ranges.select("no").distinct().count() == ranges.count()
+    got = trees.read_zip_sources(spark, path, range_bytes=300)
+    assert {r.path: r.text for r in got.collect()} == body | {"src/empty.h": ""}
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    every = trees.unzip_entries(archives.archive_paths(spark, path))
+    assert {r.path for r in every.collect()} == {*body, "src/empty.h", "big.bin"}
+    # An unwanted entry that cannot be unpacked does no harm.
+    raw = (tmp_path / "z.zip").read_bytes()
+    at = raw.index(b"big.bin") + len("big.bin")
+    (tmp_path / "z.zip").write_bytes(raw[:at] + b"x" + raw[at + 1:])
+    assert got.count() == 41
+
+
+def test_large_archive_by_seek(spark, tmp_path):
+    """An archive of over 2 GB, most of it a hole: entries before and after it are read by seek."""
+    path = tmp_path / "large.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("first.c", "int a;")
+        hole = zipfile.ZipInfo("hole.bin")
+        hole.file_size = hole.compress_size = 5 << 29
+        hole.CRC = 0
+        at = z.fp.tell()
+        hole.header_offset = at
+        z.fp.write(hole.FileHeader(zip64=True))
+        z.fp.seek(5 << 29, 1)
+        z.start_dir = z.fp.tell()
+        z.filelist.append(hole)
+        z.NameToInfo[hole.filename] = hole
+        z.writestr("last.c", "int z;")
+    assert path.stat().st_size > 2**31
+    got = trees.read_zip_sources(spark, str(path))
+    assert {r.path: r.text for r in got.collect()} == {"first.c": "int a;", "last.c": "int z;"}
+
+
+def test_broken_entries_are_told(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("a.c", "int a;")
+    raw = (tmp_path / "z.zip").read_bytes()
+    (tmp_path / "z.zip").write_bytes(raw.replace(b"int a;", b"int b;"))
+    with pytest.raises(Exception, match="checksum of a.c"):
+        trees.read_zip_sources(spark, str(tmp_path / "z.zip")).collect()
+
+
 def item(name, refs):
     return {
         "cve": {"CVE_data_meta": {"ID": name, "ASSIGNER": "x"},
