@@ -80,6 +80,9 @@ class BpeCodec:
         self.steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         if unknown := set(self.steps) - {"NFC", "Replace", "Lowercase"}:
             raise ValueError(f"{path}: normalizers {unknown}")
+        for step in (spec["normalizer"] or {}).get("normalizers", []):
+            if step["type"] == "Replace" and (step["pattern"], step["content"]) != ({"Regex": r"\s+"}, " "):
+                raise ValueError(f"{path}: a normalizer that replaces {step['pattern']}")  # white space splits words anyhow
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or spec["decoder"]:
             raise ValueError(f"{path}: only files that split into words, without a decoder")

@@ -9,7 +9,7 @@ item has leave the scan, and candidates from the sketches are verified by exact
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import let
@@ -34,20 +34,26 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
     return let(words, lambda w: F.when(F.size(w) < n, none).otherwise(F.array_distinct(runs(w))))
 
 
-def sketched(items: DataFrame, text: str = "text", key: str = "item_id", share: int = SHARE) -> DataFrame:
-    """Rows ``(key, shingles, sketch)`` of items with at least one shingle.
+def item_shingles(items: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
+    """Distinct rows ``(key, s)`` of the shingles of items; rows with equal keys are one item."""
+    return items.filter(F.col(key).isNotNull()).select(
+        F.col(key), F.explode(shingles(F.col(text))).alias("s")).distinct()
+
+
+def sketched(sets: DataFrame, key: str, share: int = SHARE) -> DataFrame:
+    """Rows ``(key, s, n_item)``: the sketches of the items of ``sets(key, s)``, and their sizes.
 
     Partitions are powers of two of the set size q. A document with ``share`` percent of an item
     lacks at most q - ceil(share q / 100) shingles, so one of any q - ceil(share q / 100) + 1 is
     there; k is that number for the largest item of the partition.
     """
-    sets = items.select(key, shingles(F.col(text)).alias("shingles")).filter(F.size("shingles") > 0)
-    sets = sets.withColumn("part", F.floor(F.log2(F.size("shingles"))))
-    largest = sets.groupBy("part").agg(F.max(F.size("shingles")).alias("q"))
-    k = (F.col("q") - F.ceil(F.col("q") * share / 100) + 1).cast("int")
-    by_hash = F.transform(F.col("shingles"), lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))
-    return sets.join(largest, "part").select(
-        key, "shingles", F.slice(F.sort_array(by_hash), F.lit(1), k)["s"].alias("sketch"))
+    sizes = sets.groupBy(key).agg(F.count("*").alias("n_item")).withColumn("part", F.floor(F.log2("n_item")))
+    largest = sizes.groupBy("part").agg(F.max("n_item").alias("q"))
+    k = F.col("q") - F.ceil(F.col("q") * share / 100) + 1
+    wanted = sizes.join(largest, "part").select(key, "n_item", k.alias("k"))
+    order = Window.partitionBy(key).orderBy(F.xxhash64("s"), "s")
+    return sets.join(wanted, key).withColumn("place", F.row_number().over(order)).filter("place <= k").select(
+        key, "s", "n_item")
 
 
 def _lookup(table: DataFrame, column: str) -> DataFrame:
@@ -63,33 +69,31 @@ def find_leaks(documents: DataFrame, items: DataFrame, text: str = "text", key:
 
     Rows with equal keys are one document (or item). Null texts, null keys and texts under five
     words have no shingles: such documents are clean, such items are not searched. Empty tables
-    give an empty result; other columns are not read. DataFrame functions only; texts are scanned
-    once and not shuffled, and what leaves the scan are shingles that some item has.
+    give an empty result; other columns are not read. DataFrame functions only; long texts are
+    searched whole; texts are scanned once and not shuffled, and what leaves the scan are shingles that some
+    item has.
     """
     name, item = "__doc", "__item"
-    wanted = staged(sketched(items.filter(F.col(item_key).isNotNull()), item_text, item_key, share)
-                    .withColumnRenamed(item_key, item), "items")
-    every = wanted.select(F.explode("shingles").alias("s")).distinct()
+    sets = staged(item_shingles(items.select(F.col(item_key).alias(item), F.col(item_text).alias("text")), "text", item), "items")
+    sketches = staged(sketched(sets, item, share), "sketches")
     hits = staged(
         documents.filter(F.col(key).isNotNull())
         .select(F.col(key).alias(name), F.explode(shingles(F.col(text))).alias("s"))
-        .join(_lookup(every, "s"), "s").select(name, "s"), "hits").distinct()
-    # Candidates share a sketch shingle; each is then verified with all shingles of its item.
-    pairs = hits.join(wanted.select(item, F.explode("sketch").alias("s")), "s").select(name, item).distinct()
-    sizes = wanted.groupBy(item).agg(F.size(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("n_item"))
-    found = (
-        hits.join(wanted.select(item, F.explode("shingles").alias("s")).distinct(), "s")
-        .groupBy(name, item).agg(F.count("*").alias("n_shared"))
-        .join(pairs, [name, item], "left_semi")
-        .join(sizes.withColumn("n_item", F.col("n_item").cast("long")), item)
-    )
+        .join(_lookup(sets.select("s").distinct(), "s"), "s").select(name, "s"), "hits").distinct()
+    # Candidates share a sketch shingle. Each then asks for all shingles of its item; nothing else is counted.
+    pairs = hits.join(sketches, "s").select(name, item, "n_item").distinct()
+    asked = pairs.join(sets, item)
+    found = asked.join(hits, [name, "s"]).groupBy(name, item, "n_item").agg(F.count("*").alias("n_shared"))
     return found.filter(F.col("n_shared") * 100 >= share * F.col("n_item")).select(
         F.col(name).alias(key), F.col(item).alias(item_key), "n_shared", "n_item",
         (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def remove_leaks(documents: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
-    """Documents without those that ``find_leaks`` reports; columns and clean rows stay as they are."""
+    """Documents without those that ``find_leaks`` reports; columns and clean rows stay as they are.
+
+    Null texts, null keys and texts under five words stay; long texts are searched whole.
+    """
     key = columns.get("key", "doc_id")
     leaked = staged(find_leaks(documents, items, **columns).select(key).distinct(), "leaked")
     return documents.join(leaked, key, "left_anti").select(*documents.columns)

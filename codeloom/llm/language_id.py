@@ -8,14 +8,17 @@ a fixed penalty for each switch then labels every word, and spans are runs of eq
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import fields, map_rows
+from codeloom.session import staged
 
 # First code points of script ranges, in order; what lies between named ranges counts as "Other".
 SCRIPTS = (
@@ -37,11 +40,23 @@ WORD_CAP = 6.0  # a word can't favour a language by more, so one odd word is no
 # Scores of at most this many different words are remembered in a Python worker, then forgotten.
 MEMO_WORDS = 500_000
 
-_WORDS = re.compile(r"[^\W\d_]{1,%d}" % MOST_LETTERS)
+MOST_LANGUAGES = 512  # learned; a model of so many takes 64 MB
+
+
+@lru_cache(maxsize=1)
+def _words() -> re.Pattern:
+    """Runs of letters: of what Python takes for word characters, numerals like ² or Ⅷ are none."""
+    numerals = [c for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    ranges, start = [], 0
+    for i, c in enumerate(numerals):
+        if i + 1 == len(numerals) or numerals[i + 1] != c + 1:
+            ranges.append(f"{chr(numerals[start])}-{chr(c)}")
+            start = i + 1
+    return re.compile(r"[^\W\d_%s]{1,%d}" % ("".join(ranges), MOST_LETTERS))
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text)
+    return _words().findall(text)
 
 
 def script_of(word: str) -> str:
@@ -157,7 +172,7 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Spans ``(start, end, language)`` of a text in code points."""
-        found = list(_WORDS.finditer(text))
+        found = list(_words().finditer(text))
         if not found or not self.languages:
             return []
         labels = self.labels(self.scores([[m.group() for m in found]])[0]).tolist()
@@ -185,11 +200,13 @@ class Model:
         return out
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_LANGUAGES) -> Model:
     """Learn from all rows with a text and a language.
 
     Tasks count hashed grams and script letters of their rows; the sums of at most ``BUCKETS`` + 20
-    rows per language are merged by Spark, and only they reach the driver.
+    rows per language are merged by Spark, and only they reach the driver. More than ``most``
+    languages are refused, so that the model stays bounded. Empty texts teach nothing; repeated rows
+    count each; long texts are read whole; an empty table gives a model that knows no language.
     """
 
     def start():
@@ -221,7 +238,11 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
     sums = map_rows(rows, start, fields("lang string, feature string, n long"), per_task=True)
-    found = sums.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    merged = staged(sums.groupBy("lang", "feature").agg(F.sum("n").alias("n")), "grams")
+    different = merged.select("lang").distinct().limit(most + 1).count()
+    if different > most:
+        raise ValueError(f"more than {most} languages to learn")
+    found = merged.toPandas()
     languages = sorted(found["lang"].unique())
     grams = np.zeros((BUCKETS, len(languages)))
     letters: dict[str, np.ndarray] = {name: np.zeros(len(languages)) for _, name in SCRIPTS}
@@ -243,7 +264,7 @@ def detect(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id",
     ``lang_pred`` is the language that labels most letters of the whole text, ``score`` its share;
     ``und`` and 0 for null texts, texts without letters, and a model without languages. ``spans``
     adds all spans as ``array<struct<start, end, lang>>``. Repeated rows and null keys give a row
-    each; an empty table gives an empty result; other columns are not read. The model has a fixed
+    each; long texts are read whole; an empty table gives an empty result; other columns are not read. The model has a fixed
     size per language and travels with the tasks.
     """
     kind = df.schema[key].dataType.simpleString()

@@ -55,6 +55,59 @@ def test_scripts_narrow_candidates(spark):
     assert model.score(["мвдлж"]).argmax() == model.languages.index("ru")
 
 
+def test_numerals_are_no_letters(model):
+    texts = ["²", "½ ①", "Ⅷ ³ ㊀", "12 _ ٣", "!"]
+    assert [language_id.words_of(t) for t in texts] == [[]] * 5
+    assert model.predict(texts) == [("und", 0.0)] * 5
+    assert language_id.words_of("x² Ⅷa 漢字½é_ß") == ["x", "a", "漢字", "é", "ß"]
+    assert all(c.isalpha() for w in language_id.words_of("".join(map(chr, range(0x3100)))) for c in w)
+
+
+def test_number_of_languages_is_bounded(spark):
+    rows = [(f"some text {i}", f"l{i}") for i in range(6)]
+    with pytest.raises(ValueError, match="more than 5"):
+        language_id.train(spark.createDataFrame(rows, "text string, lang string"), most=5)
+
+
+def slow_prediction(model, text):
+    """Gram by gram scores of each word, and the best of all sequences by a plain recursion."""
+    words, n = [], 0
+    for run in "".join(c if c.isalpha() else " " for c in text).split():
+        words += [run[i:i + 64] for i in range(0, len(run), 64)]
+    if not words:
+        return "und", 0.0
+    rows = []
+    for w in words:
+        body, total = f"<{w.lower()}>".encode(), np.zeros(len(model.languages))
+        for size in (3, 5):
+            for i in range(len(body) - size + 1):
+                code = size
+                for b in body[i:i + size]:
+                    code = (code ^ b) * 0x100000001B3 % 2**64
+                total = total + model.weights[(code ^ code >> 32) % 2**15]
+        fits = model.scripts[language_id.script_of(w)]
+        total[~fits] = -np.inf if fits.any() else total[~fits]
+        rows.append(np.maximum(total - total.max(), -6.0))
+    best, back = rows[0], []
+    for row in rows[1:]:
+        moved = best[None, :] - 12.0 * (1 - np.eye(len(best)))
+        back.append(moved.argmax(axis=1))
+        best = moved.max(axis=1) + row
+    path = [int(best.argmax())]
+    for step in back[::-1]:
+        path.append(int(step[path[-1]]))
+    sizes = np.bincount(path[::-1], [len(w) for w in words], len(model.languages))
+    return model.languages[int(sizes.argmax())], sizes.max() / sizes.sum()
+
+
+def test_predictions_equal_the_definitions(spark, sf, model):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 3000").collect()]
+    texts = texts[:60] + [a[:200] + b[:200] for a, b in zip(texts, texts[60:90])] + ["", "²", "漢字 the"]
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        want = slow_prediction(model, text)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-6)
+
+
 def test_edges(edges, nothing, spark, model):
     got = language_id.detect(edges, model, spans=True).collect()
     assert len(got) == edges.count()

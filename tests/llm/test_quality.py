@@ -88,6 +88,69 @@ def test_estimation_finds_accuracies():
     assert abs(model.share - 0.8) < 0.02 and np.abs(model.accuracies - right).max() < 0.03
 
 
+def test_one_key_on_many_rows_sends_no_more_than_the_sample(spark, monkeypatch):
+    hot = [(1, f"some words number {i} of one key " * 5) for i in range(600)] + [(1, "copied text " * 9)] * 300
+    rows = hot + [(None, f"no key {i} at all " * 5) for i in range(20)] + [(i, f"own {i} text here " * 5) for i in range(2, 30)]
+    sent = []
+    monkeypatch.setattr(weak_labels, "fit_scorer", lambda sparse, good: sent.append(len(sparse)) or np.zeros(weak_labels.BUCKETS + 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weak_labels.train(df, sample=10)
+    weak_labels.train(df, sample=10_000)
+    assert sent == [10, 600 + 1 + 20 + 28]
+
+
+def test_distinct_words_don_t_depend_on_length():
+    at = weak_labels.MEASURES.index("distinct")
+    rnd = np.random.default_rng(1)
+    words = [b"w%d" % i for i in rnd.zipf(1.6, 40_000) % 5000]
+    short, long = (weak_labels.measures(b" ".join(w))[at] for w in (words[:1500], words))
+    assert abs(short - long) < 0.05 and 0 < long <= 1
+    assert weak_labels.measures(b" ".join(b"own%d" % i for i in range(9000)))[at] == 1
+
+
+def slow_quality(text, model):
+    """Votes, posterior, score and verdict of one text, straight from the definitions."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return "2" * 7, None, 0.0, False
+    lower = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[.,;:!?]", b"", text.lower()))
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    values = {
+        "common": sum(w in weak_labels.COMMON for w in lower) / len(words),
+        "word_length": sum(len(w) for w in words) / len(words),
+        "symbols": len(re.findall(rb"[#*$%&|<>!{}\[\]=~^\\]", text)) / len(words),
+        "distinct": sum(len(set(words[i:i + 500])) for i in range(0, len(words), 500)) / len(words),
+        "copied_lines": 1 - len(set(lines)) / len(lines),
+        "upper": len(re.findall(rb"[A-Z]", text)) / len(text),
+        "line_words": len(words) / len(lines)}
+    vote, odds = "", [1 - model.labels.share, model.labels.share]
+    for j, (name, side, good, bad) in enumerate(weak_labels.LABELLERS):
+        v = values[name]
+        one = 1 if (v >= good if side == "high" else v <= good) else 0 if (v < bad if side == "high" else v > bad) else 2
+        vote += str(one)
+        odds = [o * model.labels.table[j, c, one] for c, o in enumerate(odds)]
+    counts = {}
+    for w in words:
+        for salt, piece in ((1, w[-3:]), (2, w[:3])):
+            code = int.from_bytes(piece.ljust(4, b" "), "little") * (0x9E3779B97F4A7C15 + 2 * salt) % 2**64 >> 52
+            counts[code] = counts.get(code, 0) + 1
+        size = 4096 + min(len(w), 31)
+        counts[size] = counts.get(size, 0) + 1
+    z = sum(model.weights[k] * (n / (len(words) + weak_labels.SHORT)) ** 0.5 for k, n in counts.items()) + model.weights[-1]
+    score, posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30))), odds[1] / sum(odds)
+    return vote, posterior, score, bool(score >= model.limit or posterior >= weak_labels.SURE)
+
+
+def test_classification_equals_the_definitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = weak_labels.train(docs)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    for r in weak_labels.classify(docs, model).collect():
+        vote, posterior, score, kept = slow_quality(texts[r.doc_id], model)
+        assert (r.votes, r.kept) == (vote, kept) and r.score == pytest.approx(score, abs=1e-9)
+        assert posterior is None or r.posterior == pytest.approx(posterior, abs=1e-9)
+
+
 def test_weak_labels_edges(edges, nothing, spark):
     model = weak_labels.train(edges, sample=5)
     rows = weak_labels.classify(edges, model).collect()
@@ -123,6 +186,29 @@ def test_leaks_are_found_in_long_documents(spark):
     assert {d for d, _ in got} == {1, 2, 7} and {i for _, i in got} <= {1, 4}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_of_one_item_are_one_item(spark, seed):
+    """An item of eight rows that share a head: a document with four fifths of all its shingles is found."""
+    rnd = np.random.default_rng(seed)
+    head = " ".join(f"h{i}" for i in range(6))
+    items = [(1, f"{head} own{seed}x{i}") for i in range(8)]  # two shingles of the head, one more per row
+    kept = rnd.permutation(8)[:6]
+    docs = [(7, f"far away text here now. {' and then some other words follow. '.join(items[i][1] for i in kept)}"),
+            (8, " between some other words here now ".join(items[i][1] for i in kept[:5]))]
+    assert leaks(spark, docs, items) == {(7, 1): (8, 10)}
+
+
+def test_only_candidates_are_verified(spark):
+    """A shingle that all items have makes no pair of every document and every item."""
+    common = "as we all know by now"
+    items = [(i, f"{common} " + " ".join(f"i{i}w{k}" for k in range(30))) for i in range(40)]
+    docs = [(i, f"{common} and " + " ".join(f"d{i}w{k}" for k in range(20))) for i in range(50)] + [(99, items[3][1])]
+    assert set(leaks(spark, docs, items)) == {(99, 3)}
+    sets = decontamination.item_shingles(spark.createDataFrame(items, "item_id long, text string"))
+    sketch = decontamination.sketched(sets, "item_id")
+    assert sets.count() == 40 * 32 and sketch.count() < 0.3 * sets.count()
+
+
 def test_any_missing_shingles_are_tolerated(spark):
     """Whatever share below a fifth an item loses, the sketch still meets the document."""
     rnd = np.random.default_rng(0)
