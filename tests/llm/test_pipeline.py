@@ -4,15 +4,22 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from codeloom.llm import quality_rules, simhash
+from codeloom.llm import personal_data, quality_rules, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 FIXTURE = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(autouse=True)
+def short_training(monkeypatch):
+    """What a stage hands on does not depend on how long the network was trained."""
+    monkeypatch.setattr(personal_data, "STEPS", 40)
+
+
 def words(n, seed):
     rnd = np.random.default_rng(seed)
     return " ".join(("the" if i % 4 == 0 else "".join(rnd.choice(list("abcdefghij"), 5))) for i in range(n)) + "."
