@@ -3,7 +3,8 @@
 The corpus is dealt into ``SHARDS`` shards. Each is mined completely at the support lowered in proportion,
 ceil(support / SHARDS): if a phrase reached it in no shard, it would have at most SHARDS times one less,
 which is under the support. So the union of the locally frequent phrases holds every frequent one, however
-uneven the shards are.
+uneven the shards are. A phrase whose known counts, with one less than the local support for each other shard,
+stay under the support leaves the union.
 
 A shard is as large as the corpus makes it, so it is mined by many tasks: they count hashes of its phrases,
 Spark adds the counts up. Words and pairs come first; longer phrases are counted only where all of
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import fields, map_rows
@@ -29,9 +30,12 @@ SHARDS = 1 << SHARD_BITS
 UNKNOWN = "und"
 
 HELD = 4_000_000  # phrases that a task holds before it counts them
-NAMED = 300_000  # phrases whose words a task remembers
+NAMED = 800_000  # phrases whose words a task remembers
+MEMO_WORDS = 500_000  # words whose hashes a task remembers
+_BATCH_ROWS = 250_000
 # Bits of the table of frequent hashes: 16 for each, up to 2**28 (32 MB an executor). Beyond, more phrases get through.
 LEAST_WIDTH, MOST_WIDTH = 15, 28
+RANK_PARTS = 64
 PIECE_BITS = 15  # bits of the table that a row has when it is put together
 
 _BREAK = 0xFF  # stands for a separator of pieces; no UTF-8 text holds this byte
@@ -50,6 +54,20 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Hashes of words, kept while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_HASHES = _Hashes()
+_BREAK_HASH = np.uint64(xxhash.xxh64_intdigest(b"\xff"))
+
+
 class Phrases:
     """The words of several texts end to end, and hashes of their phrases by language."""
 
@@ -62,15 +80,9 @@ class Phrases:
             self.words += own
             sizes.append(len(own))
         self.text = np.repeat(np.arange(len(texts)), sizes)
-        different = list(set(self.words))
-        index = {w: i for i, w in enumerate(different)}
-        digest = xxhash.xxh64_intdigest
-        known = np.fromiter(map(digest, different), np.uint64, len(different))
-        codes = np.fromiter(map(index.__getitem__, self.words), np.int64, len(self.words))
-        self.word = codes != index.get(b"\xff", -1)
-        seeds = np.fromiter(map(digest, langs), np.uint64, len(langs))
-        self._hash = known[codes]
-        self._seed = seeds[self.text]
+        self._hash = np.fromiter(map(_HASHES.__getitem__, self.words), np.uint64, len(self.words))
+        self.word = self._hash != _BREAK_HASH
+        self._seed = np.fromiter(map(xxhash.xxh64_intdigest, langs), np.uint64, len(langs))[self.text]
 
     def levels(self, longest: int):
         """For 1, 2, ... words: hash of the phrase that starts at each place, and whether there is one."""
@@ -85,6 +97,35 @@ class Phrases:
         return b" ".join(self.words[start:start + n]).decode()
 
 
+class Tally:
+    """Counts by hash, with a name for each, in arrays that stay sorted."""
+
+    def __init__(self) -> None:
+        self.known, self.n, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.names: list[tuple[str, str, int]] = []
+
+    def add(self, hashes: np.ndarray, n: np.ndarray, name) -> None:
+        """Add counts of distinct sorted hashes; ``name(i)`` tells that of the i-th, asked where it is new."""
+        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        old = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        self.n[at[old]] += n[old]
+        new = np.flatnonzero(~old)
+        places = np.arange(len(self.names), len(self.names) + len(new))
+        self.names += map(name, new.tolist())
+        into = np.searchsorted(self.known, hashes[new])
+        self.known = np.insert(self.known, into, hashes[new])
+        self.n = np.insert(self.n, into, n[new])
+        self.place = np.insert(self.place, into, places)
+
+    def rows(self):
+        """Columns (lang, phrase, words, count) of all, in pieces; then nothing is left."""
+        n = np.empty(len(self.names), np.int64)
+        n[self.place] = self.n
+        for at in range(0, len(n), _BATCH_ROWS):
+            yield [*map(list, zip(*self.names[at:at + _BATCH_ROWS])), n[at:at + _BATCH_ROWS]]
+        self.__init__()
+
+
 class Bits:
     """A table of bits that holds every hash put into it."""
 
@@ -138,7 +179,7 @@ def bit_table(hashes: DataFrame, n: int) -> tuple[int, bytes]:
     dealt = pieces.repartition("piece").sortWithinPartitions("piece")
     size = (1 << PIECE_BITS) // 8
     out = bytearray((1 << width) // 8)
-    for row in map_rows(dealt, start, fields("piece long, bits binary"), per_task=True).toLocalIterator():
+    for row in map_rows(dealt, start, fields("piece long, bits binary"), per_task=True).collect():  # bounded by the table
         out[row["piece"] * size:(row["piece"] + 1) * size] = row["bits"]
     return width, bytes(out)
 
@@ -148,20 +189,21 @@ def _counted(rows: DataFrame, chosen) -> DataFrame:
 
     Each task adds up what it can hold; Spark adds up the rest.
     """
-
     most = HELD
 
     def start():
         held: list[np.ndarray] = []
 
-        def flush() -> list | None:
-            if not held:
-                return None
-            values, n = np.unique(np.concatenate(held), return_counts=True)
+        def flush():
+            values = np.concatenate(held) if held else np.zeros(0, np.uint64)
             held.clear()
-            return [values.view(np.int64), n]
+            values.sort()
+            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][:len(values)])
+            n, values = np.diff(np.r_[first, len(values)]), values[first].view(np.int64)
+            for at in range(0, len(values), _BATCH_ROWS):
+                yield [values[at:at + _BATCH_ROWS], n[at:at + _BATCH_ROWS]]
 
-        def step(texts: list, langs: list, shards: list) -> list | None:
+        def step(texts: list, langs: list, shards: list):
             phrases = Phrases(texts, langs)
             held.extend(chosen(phrases, np.array(shards, np.uint64)[phrases.text]))
             return flush() if sum(map(len, held)) > most else None
@@ -169,7 +211,8 @@ def _counted(rows: DataFrame, chosen) -> DataFrame:
         return step, flush
 
     found = map_rows(rows, start, fields("h long, n long"), binary=("text", "lang"), per_task=True)
-    return found.groupBy("h").agg(F.sum("n").alias("n"))
+    # Most phrases of a task are its only ones: to add up before the shuffle would cost more than it saves.
+    return found.repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _in_shard(values: np.ndarray, shards: np.ndarray) -> np.ndarray:
@@ -210,44 +253,54 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", support
     rows = df.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"),
                      F.xxhash64(*df.columns).bitwiseAND(SHARDS - 1).cast("int").alias("shard"))
     local = -(-support // SHARDS)
-    frequent = lambda found, name: staged(found.filter(F.col("n") >= local).select("h"), name)
+    frequent = lambda found, name: staged(found.filter(F.col("n") >= local), name)
 
     short = frequent(_counted(rows, _short), "short")
     table = spark.sparkContext.broadcast(bit_table(short, short.count()))
     long = frequent(_counted(rows, lambda p, s: _long(longest, Bits(*table.value))(p, s)), "long")
 
-    union = staged(short.unionByName(long).select(F.col("h").bitwiseAND(~(SHARDS - 1)).alias("h")).distinct(), "candidates")
+    # Where a phrase is not frequent it has at most local - 1: what the shards leave possible bounds its count.
+    possible = F.sum(F.col("n") - (local - 1)) + SHARDS * (local - 1)
+    union = staged(short.unionByName(long).groupBy(F.col("h").bitwiseAND(~(SHARDS - 1)).alias("h")).agg(
+        possible.alias("n")).filter(F.col("n") >= support).select("h"), "candidates")
     wanted = spark.sparkContext.broadcast(bit_table(union, union.count()))
     most = NAMED
 
     def start():
-        table = Bits(*wanted.value)
-        counts: dict[int, int] = {}
-        names: dict[int, tuple[str, str, int]] = {}
+        table, tally = Bits(*wanted.value), Tally()
         words: dict[str, int] = {}
 
-        def flush() -> list | None:
-            found = [(*names[h], n) for h, n in counts.items()] + [(k, "", 0, n) for k, n in words.items()]
-            for held in (counts, names, words):
-                held.clear()
-            return [list(c) for c in zip(*found)] if found else None
+        def flush():
+            yield from tally.rows()
+            if words:
+                yield [list(words), [""] * len(words), [0] * len(words), list(words.values())]
+                words.clear()
 
-        def step(texts: list, langs: list) -> list | None:
+        def step(texts: list, langs: list):
             phrases = Phrases(texts, langs)
             for i, n in zip(*(x.tolist() for x in np.unique(phrases.text[phrases.word], return_counts=True))):
                 own = langs[i].decode()
                 words[own] = words.get(own, 0) + n
+            found, starts, sizes = [], [], []
             for n, (value, there) in enumerate(phrases.levels(longest), 1):
                 at = np.flatnonzero(there)
                 at = at[table.holds(value[at] & ~_SHARD)]
-                different, first, times = np.unique(value[at], return_index=True, return_counts=True)
-                for h, i, c in zip(different.tolist(), at[first].tolist(), times.tolist()):
-                    if h in counts:
-                        counts[h] += c
-                    else:
-                        counts[h] = c
-                        names[h] = langs[phrases.text[i]].decode(), phrases.phrase(i, n), n
-            return flush() if len(names) > most else None
+                found.append(value[at])
+                starts.append(at)
+                sizes.append(np.full(len(at), n))
+            found, starts, sizes = map(np.concatenate, (found, starts, sizes))
+            order = np.argsort(found)
+            found, starts, sizes = found[order], starts[order], sizes[order]
+            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][:len(found)])
+            starts, sizes = starts[first], sizes[first]
+            names = [x.decode() for x in langs]
+
+            def name(i: int) -> tuple[str, str, int]:
+                start, n = int(starts[i]), int(sizes[i])
+                return names[phrases.text[start]], phrases.phrase(start, n), n
+
+            tally.add(found[first], np.diff(np.r_[first, len(found)]), name)
+            return flush() if len(tally.names) > most else None
 
         return step, flush
 
@@ -257,26 +310,13 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", support
         (F.col("f") >= support) | (F.col("n_words") == 0))
 
 
-def _part(words: Column, start: int, n: int) -> Column:
-    return F.array_join(F.slice(words, start, n), " ")
-
-
-def mine(df: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, share: int = 80,
-         scale: int = 2_000_000, longest: int = LONGEST) -> DataFrame:
-    """Collocations: rows ``(lang, phrase, a, l, r, n, score)``, unranked.
-
-    Of each phrase of two words or more that stands ``support`` times, the cut with the least score
-    floor(scale a / (l + r)) counts, the first of equals; l and r are the counts of the two parts, n that of
-    all words of the language. A phrase goes if a longer one around it has ``share`` percent of its count.
-    Nulls, empty texts and phrases as in ``phrase_counts``; repeated rows count each; long texts are
-    read whole; an empty table gives an empty result; other columns only help to deal rows to shards.
-    """
-    counts = staged(phrase_counts(df, text, lang, support, longest), "phrases")
+def _scored(counts: DataFrame, share: int, scale: int) -> DataFrame:
+    """Rows ``(lang, phrase, a, l, r, score)`` of the phrases of two words or more that no longer one covers."""
     phrases = counts.filter("n_words > 1").withColumn("words", F.split("phrase", " "))
-    # Both parts of every cut, met by the joined words.
-    cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
     size = F.size("words")
     part = lambda start, n: F.array_join(F.slice("words", start, n), " ")
+    # Both parts of every cut, met by their words.
+    cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
     parts = cuts.select("lang", "phrase", "a", "k", F.explode(F.array(
         F.struct(F.lit(True).alias("left"), part(F.lit(1), F.col("k")).alias("part")),
         F.struct(F.lit(False).alias("left"), part(F.col("k") + 1, size - F.col("k")).alias("part")))).alias("p"))
@@ -294,13 +334,30 @@ def mine(df: DataFrame, text: str = "text", lang: str = "lang", support: int = S
         "lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = best.join(around, ["lang", "phrase"], "left").filter(
         F.col("longer").isNull() | (F.col("longer").cast("decimal(38,0)") * 100 < F.col("a").cast("decimal(38,0)") * share))
-    total = counts.filter("n_words = 0").select("lang", F.col("f").alias("n"))
-    return kept.join(total, "lang").select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n",
-                                           F.col("cut.score").cast("long").alias("score"))
+    return kept.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
+                       F.col("cut.score").cast("long").alias("score"))
+
 
+def collocations(df: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, share: int = 80,
+                 scale: int = 2_000_000, longest: int = LONGEST, limit: int | None = None) -> DataFrame:
+    """Collocations: rows ``(lang, phrase, a, l, r, n, score)``, with a ``limit`` also their ``rank`` from 1
+    in their language, by score and count descending, then by phrase, up to it.
 
-def best_phrases(df: DataFrame, limit: int, **options) -> DataFrame:
-    """``mine`` with a ``rank`` from 1 to ``limit`` in each language: by score and count descending, then by phrase."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = mine(df, **options).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    Of each phrase of two words or more that stands ``support`` times, the cut with the least score
+    floor(scale a / (l + r)) counts, the first of equals; l and r are the counts of the two parts, n that of
+    all words of the language. A phrase goes if a longer one around it has ``share`` percent of its count.
+    Nulls, empty texts and phrases as in ``phrase_counts``; repeated rows count each; long texts are
+    read whole; an empty table gives an empty result; other columns only help to deal rows to shards.
+    """
+    counts = staged(phrase_counts(df, text, lang, support, longest), "phrases")
+    found, columns = _scored(counts, share, scale), ["lang", "phrase", "a", "l", "r", "n", "score"]
+    if limit is not None:
+        # First the best of each part of a language, so that no task sorts a language.
+        order = [F.desc("score"), F.desc("a"), "phrase"]
+        part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+        for group in (["lang", part], ["lang"]):
+            found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(
+                F.col("rank") <= limit)
+        found, columns = found.withColumn("rank", F.col("rank").cast("long")), ["lang", "rank", *columns[1:]]
+    total = counts.filter("n_words = 0").select("lang", F.col("f").alias("n"))
+    return found.join(total, "lang").select(*columns)

@@ -43,7 +43,8 @@ def map_rows(df: DataFrame, kernel: Callable[[list[list]], Iterable[list]], sche
     The kernel takes the input columns as lists (``binary`` ones as UTF-8 bytes) and returns the
     output columns as lists or arrays. With ``per_task`` it is instead called without arguments
     once in each task and returns ``(step, finish)``: ``step`` is such a kernel, ``finish()``
-    gives the last columns, or None.
+    gives the last columns, or None. Either may instead return an iterator of columns, so that much
+    output travels in several batches.
     """
     arrow = to_arrow_schema(schema)
 
@@ -55,16 +56,20 @@ def map_rows(df: DataFrame, kernel: Callable[[list[list]], Iterable[list]], sche
                 [c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
                  for c, f in zip(columns, arrow)], schema=arrow)
 
+        def outputs(out) -> Iterator[pa.RecordBatch]:
+            if isinstance(out, (list, tuple)):
+                out = (out,)
+            return map(packed, out or ())
+
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 columns = [
                     (part.column(i).cast(pa.binary()) if f.name in binary else part.column(i)).to_pylist()
                     for i, f in enumerate(part.schema)]
-                if (out := step(*columns)) is not None:
-                    yield packed(out)
-        if finish is not None and (out := finish()) is not None:
-            yield packed(out)
+                yield from outputs(step(*columns))
+        if finish is not None:
+            yield from outputs(finish())
 
     return df.mapInArrow(run, schema)
 

@@ -43,4 +43,4 @@ FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 @query("op11_collocations", _OP11_SQL)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best collocations of each language, from the counts of all documents."""
-    return collocations.best_phrases(table(spark, sf_dir, "documents"), limit=2000, support=30, share=80)
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=30, share=80, limit=2000)

@@ -47,7 +47,7 @@ def corpus(seed, n):
 
 def mined(spark, docs, **options):
     df = spark.createDataFrame(docs, "text string, lang string").repartition(5)
-    return sorted(map(tuple, collocations.best_phrases(df, **options).collect()))
+    return sorted(map(tuple, collocations.collocations(df, **options).collect()))
 
 
 @pytest.mark.parametrize(("seed", "support", "limit"), [(1, 30, 2000), (2, 9, 7), (3, 2, 2000)])
@@ -82,7 +82,7 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 def test_phrase_edges(edges, nothing, spark):
     df = edges.selectExpr("*", "cast(null AS string) AS lang", "1 AS phrase", "2 AS shard", "3 AS h")
-    got = sorted(map(tuple, collocations.best_phrases(df, limit=5).collect()))
+    got = sorted(map(tuple, collocations.collocations(df, limit=5).collect()))
     assert got == slow([(r.text, None) for r in edges.collect()], 30, 5) and "the end" in {r[2] for r in got}
-    assert collocations.best_phrases(df.filter("false"), limit=5).count() == 0
+    assert collocations.collocations(df.filter("false"), limit=5).count() == 0
     assert mined(spark, [("a b " * 40, None)], support=30, limit=9) == slow([("a b " * 40, None)], 30, 9)
