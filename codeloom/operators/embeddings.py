@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,6 +191,26 @@ def train_word2vec(sentences: DataFrame, tokens: str, size: int = 100, window: i
         maxIter=iterations, inputCol=tokens, outputCol="vector").fit(sentences)
 
 
+def save_word2vec(model: Word2VecModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_word2vec(path: str) -> Word2VecModel:
+    return Word2VecModel.load(path)
+
+
+def save_subwords(spark: SparkSession, vocab: Sequence[str], merges: Sequence[tuple[str, str]], path: str) -> None:
+    """Write a subword vocabulary and its merges, both bounded by the vocabulary's size."""
+    spark.createDataFrame(list(enumerate(vocab)), "id int, token string").write.mode("overwrite").parquet(f"{path}/vocab")
+    spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "rank int, left string, right string").write.mode(
+        "overwrite").parquet(f"{path}/merges")
+
+
+def load_subwords(spark: SparkSession, path: str) -> tuple[list[str], list[tuple[str, str]]]:
+    vocab = [r.token for r in spark.read.parquet(f"{path}/vocab").orderBy("id").collect()]
+    return vocab, [(r.left, r.right) for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]
+
+
 def lookup_embeddings(index: DataFrame, vectors: DataFrame, num_words: int, dim: int) -> DataFrame:
     """(idx, token, vector) of every indexed token below ``num_words``; zeros where no vector is known."""
     zeros = F.array_repeat(F.lit(0.0), dim)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.labels import binary_name, relabel_category
@@ -127,47 +129,97 @@ def rank_align(statements: DataFrame, functions: DataFrame, k: int = 10) -> Data
 # --- distributions ------------------------------------------------------------------------------
 
 _SKETCH_ACCURACY = 10_000
-
-
-def exact_percentiles(df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+RANKED_ROWS = 100_000  # values that a task ranks
+
+
+class _Bracket(NamedTuple):
+    """Bounds between which the value of a rank lies, how many values are below, and how many inside."""
+
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    @property
+    def open(self) -> bool:
+        return self.low < self.high
+
+
+def _narrowed(values: DataFrame, brackets: dict[int, _Bracket]) -> dict[int, _Bracket]:
+    """Brackets of ranks, each narrowed by a sketch of what is inside; two passes over the values for all."""
+    x, asked = F.col("x"), []
+    for rank, b in brackets.items():
+        share = (rank - b.below) / max(1, b.inside - 1)
+        edges = [min(1.0, max(0.0, share + s)) for s in (-2 / _SKETCH_ACCURACY, 2 / _SKETCH_ACCURACY)]
+        asked.append(F.percentile_approx(
+            F.when(x.between(b.low, b.high), x), F.array(*map(F.lit, edges)), _SKETCH_ACCURACY).alias(f"e{rank}"))
+    found = values.agg(*asked).first()
+    count = lambda c: F.count(F.when(c, 1))
+    asked = []
+    for rank, b in brackets.items():
+        low, high = found[f"e{rank}"]
+        inner = x.between(b.low, b.high)
+        asked.append(F.struct(
+            F.lit(low).alias("low"), F.lit(high).alias("high"), count(x < low).alias("lt_low"), count(x <= low).alias("le_low"),
+            count(x < high).alias("lt_high"), count(x <= high).alias("le_high"),
+            F.min(F.when(inner & (x > b.low), x)).alias("next"), F.max(F.when(inner & (x < b.high), x)).alias("last"),
+            count(x <= b.low).alias("le_b"), count(x < b.high).alias("lt_b")).alias(f"c{rank}"))
+    counted = values.agg(*asked).first()
+    out = {}
+    for rank, b in brackets.items():
+        c = counted[f"c{rank}"]
+        if rank < c.lt_low:  # the sketch was off
+            out[rank] = _Bracket(b.low, c.low, b.below, c.le_low - b.below)
+        elif rank >= c.le_high:
+            out[rank] = _Bracket(c.high, b.high, c.lt_high, b.below + b.inside - c.lt_high)
+        elif (c.low, c.high) != (b.low, b.high):
+            out[rank] = _Bracket(c.low, c.high, c.lt_low, c.le_high - c.lt_low)
+        elif rank < c.le_b:  # ties at both ends hold the bounds: it is one of them, or between them
+            out[rank] = _Bracket(b.low, b.low, b.below, c.le_b - b.below)
+        elif rank >= c.lt_b:
+            out[rank] = _Bracket(b.high, b.high, c.lt_b, b.below + b.inside - c.lt_b)
+        else:
+            out[rank] = _Bracket(c.next, c.last, c.le_b, c.lt_b - c.le_b)
+    return out
+
+
+def values_at(values: DataFrame, ranks: Sequence[int], bounds: _Bracket, most: int) -> dict[int, float]:
+    """The values of 0-based ranks among ``values(x)``. No task ranks more than ``most`` of them."""
+    brackets = dict.fromkeys(ranks, bounds)
+    while wide := {r: b for r, b in brackets.items() if b.open and b.inside > most}:
+        brackets |= _narrowed(values, wide)
+    found = {r: b.low for r, b in brackets.items() if not b.open}
+    parts = None
+    for rank, b in brackets.items():
+        if b.open:
+            part = values.filter(F.col("x").between(b.low, b.high)).groupBy("x").agg(F.count("*").alias("c")).withColumn(
+                "upto", F.sum("c").over(Window.partitionBy(F.lit(rank)).orderBy("x")) + b.below)
+            part = part.filter((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)).select(F.lit(rank).alias("rank"), "x")
+            parts = part if parts is None else parts.unionByName(part)
+    return found | ({r["rank"]: r["x"] for r in parts.collect()} if parts is not None else {})
+
+
+def exact_percentiles(df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.5, 0.75),
+                      most: int = RANKED_ROWS) -> DataFrame:
     """Exact, linearly interpolated percentiles as one row of columns p0, p1, ...
 
-    A mergeable sketch brackets each percentile. Values inside a bracket are counted per value and
-    ranked; those below and above it are only counted, with the neighbour next to the bracket. No
-    task holds the column.
+    Each rank asked for is kept in a bracket of values, which mergeable sketches narrow, and counts make
+    sure of, until it holds at most ``most`` values or one; only then its values are ranked. The
+    passes are made when this is called; only counts and bounds reach the driver. Nulls do not count.
     """
     values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    slack = 2.0 / _SKETCH_ACCURACY
-    edges = [min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)]
-    sketch = values.agg(F.struct(
-        F.count("*").alias("n"),
-        F.percentile_approx("x", F.array(*[F.lit(e) for e in edges]), _SKETCH_ACCURACY).alias("q"),
-    ).alias("b")).scalar()
-    tagged = values.withColumn("_b", sketch)
-
-    def slot(i: int) -> Column:
-        low, high = F.element_at("_b.q", 2 * i + 1), F.element_at("_b.q", 2 * i + 2)
-        zone = F.when(F.col("x") < low, -1).when(F.col("x") > high, 1).otherwise(0)
-        return F.struct(F.lit(i).alias("i"), zone.alias("zone"),
-                        F.when(zone == 0, F.col("x")).alias("inside"))
-
-    counted = (
-        tagged.select("x", F.col("_b.n").alias("n"),
-                      F.explode(F.array(*[slot(i) for i in range(len(probs))])).alias("s"))
-        .groupBy("s.i", "s.zone", "s.inside", "n")
-        .agg(F.count("*").alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
-        .withColumn("v", F.when(F.col("zone") < 0, F.col("most")).otherwise(F.col("least")))
-    )
-    order = Window.partitionBy("i").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
-    ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("pos", prob * (F.col("n") - 1))
-    holds = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r)
-    picked = ranked.groupBy("i").agg(
-        F.max(F.when(holds(F.floor("pos")), F.col("v"))).alias("a"),
-        F.max(F.when(holds(F.ceil("pos")), F.col("v"))).alias("b"),
-        F.max(F.col("pos") - F.floor("pos")).alias("f"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
-    return picked.agg(*[F.max(F.when(F.col("i") == i, value)).alias(f"p{i}") for i in range(len(probs))])
+    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    schema = ", ".join(f"p{i} double" for i in range(len(probs)))
+    if not n:
+        return df.sparkSession.createDataFrame([(None,) * len(probs)], schema)
+    places = [p * (n - 1) for p in probs]
+    ranks = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
+    found = values_at(values, ranks, _Bracket(low, high, 0, n), most)
+    row = []
+    for at in places:
+        a, b = found[math.floor(at)], found[math.ceil(at)]
+        row.append(a if a == b else a + (b - a) * (at - math.floor(at)))
+    return df.sparkSession.createDataFrame([tuple(row)], schema)
 
 
 def describe_numeric(df: DataFrame, column: str, derived: bool = False) -> DataFrame:

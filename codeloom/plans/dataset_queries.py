@@ -19,7 +19,7 @@ from codeloom.plans.inputs import (
     lines_sql, project_events, quoted, shared_files, shared_findings, squeeze_sql, statements,
     status_of_event, table, trim_sql)
 from codeloom.plans.registry import query
-from codeloom.plans.source_queries import CATEGORIES, _categories, simple_sql
+from codeloom.plans.source_queries import CATEGORIES, SAFE_SQL, SEQ_SQL, _categories, simple_sql
 from codeloom.session import scratch_path
 from codeloom.sources import reports
 from codeloom.sources.tables import export_code_label
@@ -546,11 +546,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.array_join("ids", ",").alias("ids"))
 
 
-@query("word2vec", VOCAB + "SELECT token AS word, CAST(100 AS INTEGER) AS dim FROM voc WHERE n >= 5")
+@query("word2vec", VOCAB + "SELECT token AS word, CAST(100 AS INTEGER) AS dim, true AS reloads FROM voc WHERE n >= 5")
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as trained, held against the same model saved and loaded."""
     d = table(spark, sf, "documents").select(X.simple_tokens(F.col("text")).alias("tokens"))
-    model = embeddings.train_word2vec(d, "tokens")
-    return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("dim"))
+    model, path = embeddings.train_word2vec(d, "tokens"), scratch_path(spark, "vectors")
+    embeddings.save_word2vec(model, path)
+    vectors = lambda m, name: m.getVectors().select("word", vector_to_array("vector").alias(name))
+    return vectors(model, "v").join(vectors(embeddings.load_word2vec(path), "again"), "word").select(
+        "word", F.size("v").alias("dim"), (F.col("v") == F.col("again")).alias("reloads"))
 
 
 # --- function extraction ------------------------------------------------------------------------
@@ -724,23 +728,36 @@ def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("doc_id", "code", L.binary_name(F.col("cwe")).alias("label"))
 
 
-@query("train_random_forest")
+_TRAINING = FN + f""", t AS (SELECT doc_id, {binary_sql("cwe")} AS label FROM fn),
+held AS (SELECT * FROM t QUALIFY row_number() OVER (ORDER BY md5('30:' || doc_id)) <= ceil((SELECT count(*) FROM fn) * CAST(0.3 AS DOUBLE)))
+"""
+
+
+@query("train_random_forest", _TRAINING + """
+SELECT count(*) AS n, (SELECT count(*) FROM fn) - count(*) AS n_train, true AS learnt FROM held""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out and training rows, and whether the forest is right on the latter more often than naming
+    their most frequent label would be."""
     rows = sampling.train_test_split(_training_rows(spark, sf), "doc_id")
     model = training.train_random_forest(rows.filter("split = 'train'"))
-    return training.accuracy(model, rows.filter("split = 'test'"))
+    both = training.accuracy(model, rows.filter("split = 'train'")).select(F.struct("*").alias("t")).scalar()
+    train = rows.filter("split = 'train'").groupBy("label").agg(F.count("*").alias("c"))
+    most = train.agg((F.max("c") / F.sum("c")).alias("share")).scalar()
+    return training.accuracy(model, rows.filter("split = 'test'")).withColumn("t", both).select(
+        "n", F.col("t.n").alias("n_train"), (F.col("t.accuracy") > most).alias("learnt"))
 
 
 def _id_rows(spark: SparkSession, sf: str) -> DataFrame:
     return training.process_data(_training_rows(spark, sf), "doc_id")
 
 
-@query("train_dnn")
+@query("train_dnn", _TRAINING + "SELECT label, count(*) AS n, true AS of_a_class FROM held GROUP BY label")
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out rows of each label, and whether each got one of the two classes."""
     rows = _id_rows(spark, sf)
     model = training.train_dnn(rows.filter("split = 'train'"), "X", "label_index", 2)
-    return training.predict_ids(model, rows.filter("split = 'test'"), "X").groupBy("label", "prediction").agg(
-        F.count("*").alias("n"))
+    return training.predict_ids(model, rows.filter("split = 'test'"), "X").groupBy("label").agg(
+        F.count("*").alias("n"), F.bool_and(F.col("prediction").isin(0.0, 1.0)).alias("of_a_class"))
 
 
 @query("train_multi_dnn")
@@ -752,10 +769,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("n"))
 
 
-@query("learning_curve")
+@query("learning_curve", FN + """, t AS (SELECT doc_id, ('0x' || left(md5('30:' || doc_id), 8))::BIGINT % 4 AS fold,
+  ('0x' || left(md5('31:' || doc_id), 8))::BIGINT / 4294967296.0 AS share FROM fn),
+steps AS (SELECT CAST(f AS INTEGER) AS fold, fraction FROM range(4) r(f), (SELECT UNNEST([CAST(0.1 AS DOUBLE), 0.325, 0.55, 0.775, 1.0]) AS fraction))
+SELECT s.fraction, s.fold, count(*) FILTER (t.fold <> s.fold AND share <= s.fraction) AS n_train,
+  count(*) FILTER (t.fold = s.fold) AS n_test, true AS scored FROM steps s, t GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return training.learning_curve(
-        _training_rows(spark, sf), "doc_id", fractions=(0.5, 1.0), folds=2, trees=5, terms=100, depth=4)
+    """All five sizes in four folds, with forests of 20 trees."""
+    curve = training.learning_curve(_training_rows(spark, sf), "doc_id", folds=4, trees=20, depth=10)
+    return curve.select("fraction", "fold", "n_train", "n_test", (
+        F.col("train_score").between(0, 1) & F.col("test_score").between(0, 1)).alias("scored"))
 
 
 @query("vectorize_functions")
@@ -767,14 +790,25 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.groupBy("part", "width").agg(F.count("*").alias("n"))
 
 
-@query("process_data", FN + f""", x AS (SELECT doc_id, {binary_sql("cwe")} AS label FROM fn)
-SELECT doc_id, label, CASE WHEN label = 'Benign' THEN 0 ELSE 1 END AS label_index, CAST(150 AS BIGINT) AS width,
+@query("process_data", FN + f""", x AS (SELECT doc_id, {binary_sql("cwe")} AS label, code FROM fn),
+s AS (SELECT *, {SAFE_SQL} AS safe FROM x)
+SELECT doc_id, label, CASE WHEN label = 'Benign' THEN 0 ELSE 1 END AS label_index, array_to_string({SEQ_SQL}, ',') AS ids,
   CASE WHEN row_number() OVER (ORDER BY md5('30:' || doc_id)) <= ceil((SELECT count(*) FROM fn) * CAST(0.3 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
-FROM x""")
+FROM s""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     f = labelled_documents(spark, sf).select("doc_id", "code", F.col("cwe").alias("label"))
     return training.process_data(f, "doc_id", kind="binary").select(
-        "doc_id", "label", "label_index", F.size("X").cast("bigint").alias("width"), "split")
+        "doc_id", "label", "label_index", F.array_join("X", ",").alias("ids"), "split")
+
+
+@query("process_data_balanced", FN + f""", x AS (SELECT {binary_sql("cwe")} AS label FROM fn),
+c AS (SELECT label, count(*) AS n FROM x GROUP BY label)
+SELECT label, (SELECT min(n) FROM c) AS n, CAST(150 AS BIGINT) AS width FROM c""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, reduced to as many rows of each label as the smaller one has."""
+    f = labelled_documents(spark, sf).select("doc_id", "code", F.col("cwe").alias("label"))
+    out = training.process_data(f, "doc_id", kind="binary", balance=True)
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("X")).cast("bigint").alias("width"))
 
 
 # --- streams ------------------------------------------------------------------------------------

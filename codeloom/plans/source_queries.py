@@ -257,7 +257,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, root)
 
 
-_SAFE = "regexp_replace(code, '[^\\t-\\r\\x20-\\x7e]', '', 'g')"
+SAFE_SQL = "regexp_replace(code, '[^\\t-\\r\\x20-\\x7e]', '', 'g')"
 _ALPHA = quoted(X.ALPHABET)
 
 
@@ -270,7 +270,7 @@ SEQ_SQL = (f"CASE WHEN length(safe) > 150 THEN {ids_sql('right(safe, 150)')} "
            f"ELSE list_concat({ids_sql('safe')}, list_transform(range(150 - length(safe)), lambda i: 0)) END")
 
 
-@query("save_vectors", FN + f""", s AS (SELECT doc_id, cwe, {_SAFE} AS safe FROM fn)
+@query("save_vectors", FN + f""", s AS (SELECT doc_id, cwe, {SAFE_SQL} AS safe FROM fn)
 SELECT cwe AS y, array_to_string({SEQ_SQL}, ',') AS ids FROM s""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "vectors")
@@ -467,14 +467,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return cve.cast_all_string(table(spark, sf, "events"))
 
 
-@query("char_ids", FN + f""", s AS (SELECT doc_id, {_SAFE} AS safe FROM fn)
+@query("char_ids", FN + f""", s AS (SELECT doc_id, {SAFE_SQL} AS safe FROM fn)
 SELECT doc_id, CASE WHEN safe = '' THEN '' ELSE array_to_string({ids_sql('safe')}, ',') END AS ids FROM s""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         "doc_id", F.array_join(X.char_ids(F.col("text")), ",").alias("ids"))
 
 
-@query("pad_ids", FN + f""", s AS (SELECT doc_id, {_SAFE} AS safe FROM fn)
+@query("pad_ids", FN + f""", s AS (SELECT doc_id, {SAFE_SQL} AS safe FROM fn)
 SELECT doc_id, array_to_string({SEQ_SQL}, ',') AS ids FROM s""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import (
@@ -23,6 +24,7 @@ from codeloom.operators.embeddings import (
 from codeloom.operators.nearmiss import nearmiss_undersample
 from codeloom.operators.sampling import train_test_split
 from codeloom.operators.scale import seeded_hash
+from codeloom.session import staged
 
 
 def _sql_text(value: str) -> str:
@@ -55,6 +57,16 @@ def fit_tfidf(tokenized: DataFrame, terms: int = 3000) -> list[Transformer]:
         Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
 
 
+def _label_stage(label: str) -> StringIndexer:
+    return StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep")
+
+
+def _forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
+    return RandomForestClassifier(
+        featuresCol="features", labelCol="label_index", numTrees=trees, impurity="gini",
+        featureSubsetStrategy="sqrt", maxDepth=depth, minInstancesPerNode=1, seed=seed)
+
+
 def train_random_forest(train: DataFrame, code: str = "code", label: str = "label", trees: int = 300,
                         terms: int = 3000, depth: int = 30, seed: int = 30) -> PipelineModel:
     """TF-IDF features into a random forest (gini, sqrt features per split)."""
@@ -62,14 +74,9 @@ def train_random_forest(train: DataFrame, code: str = "code", label: str = "labe
     # Several passes read the tokens; the kept copy can be rebuilt if an executor is lost.
     tokenized = cut.transform(train.select(code, label)).drop(code).persist(StorageLevel.MEMORY_AND_DISK)
     weights = fit_tfidf(tokenized, terms)
-    labels = StringIndexer(
-        inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep",
-    ).fit(tokenized)
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol="label_index", numTrees=trees, impurity="gini",
-        featureSubsetStrategy="sqrt", maxDepth=depth, minInstancesPerNode=1, seed=seed)
+    labels = _label_stage(label).fit(tokenized)
     ready = PipelineModel([*weights, labels]).transform(tokenized).select("features", "label_index")
-    model = PipelineModel([cut, *weights, labels, forest.fit(ready)])
+    model = PipelineModel([cut, *weights, labels, _forest(trees, depth, seed).fit(ready)])
     tokenized.unpersist()
     return model
 
@@ -133,29 +140,37 @@ def process_data(df: DataFrame, row_id: str, kind: str = "multiclass", statement
 
 def learning_curve(df: DataFrame, row_id: str, code: str = "code", label: str = "label",
                    fractions: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 20,
-                   seed: int = 30, **forest) -> DataFrame:
-    """(fraction, fold, n_train, train_score, test_score) of a random forest by training size.
+                   seed: int = 30, trees: int = 300, terms: int = 3000, depth: int = 30, parallel: int = 4) -> DataFrame:
+    """(fraction, fold, n_train, n_test, train_score, test_score) of a random forest by training size.
 
-    Folds and training subsets are cut by hash, so each subset contains the smaller ones.
+    Folds and training subsets are cut by hash, so each subset contains the smaller ones. Texts become
+    tokens and features once; fits read the table of features, ``parallel`` of them at a time, and both
+    scores of a fit come from one pass.
     """
+    spark = df.sparkSession
     slot = F.conv(F.substring(seeded_hash(seed, row_id), 1, 8), 16, 10).cast("bigint")
     share = F.conv(F.substring(seeded_hash(seed + 1, row_id), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    marked = df.withColumn("_fold", F.pmod(slot, F.lit(folds))).withColumn("_share", share)
-    rows = None
-    for fold in range(folds):
-        test = marked.filter(F.col("_fold") == fold)
-        for fraction in fractions:
-            train = marked.filter((F.col("_fold") != fold) & (F.col("_share") <= fraction))
-            model = train_random_forest(train, code, label, seed=seed, **forest)
-            score = lambda part, n, s: accuracy(model, part).select(
-                F.col("n").alias(n), F.col("accuracy").alias(s))
-            on_train = score(train, "n_train", "train_score").select(F.struct("*").alias("t")).scalar()
-            row = score(test, "n_test", "test_score").withColumn("_t", on_train).select(
-                F.lit(fraction).alias("fraction"), F.lit(fold).alias("fold"),
-                F.col("_t.n_train").alias("n_train"), "n_test",
-                F.col("_t.train_score").alias("train_score"), "test_score")
-            rows = row if rows is None else rows.unionByName(row)
-    return rows
+    marked = df.select(code, label, F.pmod(slot, F.lit(folds)).alias("_fold"), share.alias("_share"))
+    tokens = staged(_token_stage(code).transform(marked).drop(code), "tokens")
+    stages = [*fit_tfidf(tokens, terms), _label_stage(label).fit(tokens)]
+    ready = staged(PipelineModel(stages).transform(tokens).select("features", "label_index", "_fold", "_share"), "features")
+
+    def scores(step: tuple[int, float]) -> tuple:
+        fold, fraction = step
+        test = F.col("_fold") == fold
+        train = ~test & (F.col("_share") <= fraction)
+        rows = ready.withColumn("_train", train).filter(train | test)
+        model = _forest(trees, depth, seed).fit(rows.filter("_train"))
+        right = (F.col("prediction") == F.col("label_index")).cast("double")
+        of = lambda part: (F.count(F.when(part, 1)), F.avg(F.when(part, right)))
+        (n, a), (m, b) = of(F.col("_train")), of(~F.col("_train"))
+        return fraction, fold, *model.transform(rows).agg(n, m, a, b).first()
+
+    steps = [(fold, float(fraction)) for fold in range(folds) for fraction in fractions]
+    with ThreadPool(parallel) as pool:
+        found = pool.map(inheritable_thread_target(spark)(scores), steps)
+    return spark.createDataFrame(
+        found, "fraction double, fold int, n_train long, n_test long, train_score double, test_score double")
 
 
 class Vectorized(NamedTuple):

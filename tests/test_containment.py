@@ -1,10 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import containment as C
-from codeloom.operators.cvematch import projects_in_cve
+from codeloom.operators.cvematch import projects_in_cve, required_literal
 from compare import rows
 
 
@@ -57,6 +58,27 @@ def test_projects_in_cve(spark):
     assert rows(projects_in_cve(records, patterns, regex=True)) == [("x/cont.ki", True), ("y/riot$", False)]
 
 
+LITERALS = {"cont.ki": ("cont", False), "linux": ("linux", True), "a+bc*d": ("a", False), "(abc)+x": ("abc", False), "ab|cd": ("", False),
+            r"\d+-rpi$": ("-rpi", False), "x(?:yz)w": ("xyzw", True), "[ab]c?": ("", False), "lib(?=c)": ("lib", False),
+            "(?i)Lib": ("", False), r"\p{L}x": ("", False), r"\va": ("", False), "^root": ("root", False), "": ("", True), "q{2,3}r": ("q", False)}
+
+
+@pytest.mark.parametrize("pattern", LITERALS)
+def test_required_literal(pattern):
+    assert required_literal(pattern) == LITERALS[pattern]
+
+
+def test_patterns_meet_texts_by_their_literal(spark):
+    rnd = random.Random(8)
+    texts = [("%d" % i, "".join(rnd.choice("abcx- 1") for _ in range(rnd.randrange(80)))) for i in range(60)] + [("n", None), ("e", "")]
+    patterns = ["ab+c", "a.c", "x-1", "(ab|ba)c", "^ab", "1$", "cc?b", "[abc]{9}", "x{3}", r"\bab\b", "nowhere", "a(?!b)", "zz*", "1 ?x", "b(?:c)a"]
+    patterns += [f"{x}{y}+{z}" for x in "abcx" for y in "1-" for z in "abc"]
+    records = spark.createDataFrame(texts, "cve_id string, description string")
+    projects = spark.createDataFrame([(f"git/{p}",) for p in patterns if "/" not in p], "project string")
+    want = [(f"git/{p}", any(t is not None and re.search(p, t) is not None for _, t in texts)) for p in patterns]
+    assert rows(projects_in_cve(records, projects, regex=True)) == sorted(want, key=repr)
+
+
 def test_null_texts_contain_nothing(spark):
     texts = spark.createDataFrame([(1, None), (2, "abc")], "id int, text string")
     passages = spark.createDataFrame([("b",), (None,)], "p string")

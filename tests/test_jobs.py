@@ -20,6 +20,31 @@ def test_percentiles(spark, n):
     assert np.allclose(list(S.exact_percentiles(df, "x").first()), np.percentile(values, [25, 50, 75]))
 
 
+@pytest.mark.parametrize("most", [1, 7, 300])
+def test_percentiles_rank_no_more_than_a_bound(spark, monkeypatch, most):
+    """Continuous values, heavy ties, and bounds that tie: narrowed until few are left."""
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    for values in (rnd.normal(size=3000), np.repeat([1.0, 2.0], [1500, 1501]), np.r_[np.zeros(1000), rnd.normal(size=500), np.full(900, 3.0)],
+                   np.repeat(rnd.normal(size=5), 400)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+        probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+        got = S.exact_percentiles(df, "x", probs, most=most).first()
+        assert np.allclose(list(got), np.percentile(values, [100 * p for p in probs]))
+
+
+def test_percentile_brackets_end_small(spark):
+    import numpy as np
+    values = np.random.default_rng(6).normal(size=20_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").cache()
+    wide = {9_999: S._Bracket(float(values.min()), float(values.max()), 0, len(values))}
+    for _ in range(2):
+        wide = S._narrowed(df, wide)
+    assert wide[9_999].inside < 100 and wide[9_999].low <= np.sort(values)[9_999] <= wide[9_999].high
+    empty = S.exact_percentiles(df.filter("x > 100"), "x").first()
+    assert list(empty) == [None] * 3
+
+
 def test_incremental_extraction(spark, sf):
     sources = c_sources(spark, sf).drop("doc_id").limit(20).cache()
     first = extraction.save_extraction(extraction.run_extraction(sources, RULES), scratch_path(spark, "ext"))

@@ -65,6 +65,49 @@ def test_lookup_fills_zeros(spark):
     assert got == {"a": [1.0, 2.0], "b": [0.0, 0.0]}
 
 
+def test_word_vectors_of_like_words_are_near_and_reload(spark, tmp_path):
+    """Words that stand among the same words are nearer to each other than to the rest."""
+    rng = random.Random(3)
+    frames = {"copy": ["buf", "len", "src"], "move": ["buf", "len", "src"], "open": ["path", "mode", "file"], "load": ["path", "mode", "file"]}
+    rows = []
+    for _ in range(600):
+        word = rng.choice(list(frames))
+        around = [rng.choice(frames[word]) for _ in range(6)]
+        rows.append((around[:3] + [word] + around[3:],))
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    model = E.train_word2vec(df, "tokens", size=16, partitions=1, iterations=15)
+    E.save_word2vec(model, str(tmp_path / "w"))
+    again = E.load_word2vec(str(tmp_path / "w"))
+    for word, like in (("copy", "move"), ("open", "load")):
+        near = {r.word: r.similarity for r in again.findSynonyms(word, 10).collect()}
+        assert near[like] > max(near[w] for w in frames if w not in (word, like))
+    assert [r.vector for r in model.getVectors().orderBy("word").collect()] == [r.vector for r in again.getVectors().orderBy("word").collect()]
+
+
+def test_subwords_reload(spark, tmp_path):
+    vocab, merges = E.bpe_train(spark.createDataFrame([("abab",), ("abc",), ("cab",)], "word string"), num_merges=3)
+    E.save_subwords(spark, vocab, merges, str(tmp_path / "s"))
+    assert E.load_subwords(spark, str(tmp_path / "s")) == (vocab, merges)
+
+
+def test_decode_labels(spark):
+    classes = E.index_labels(spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "label string"))
+    df = spark.createDataFrame([(1, 0), (2, 2), (3, 9), (4, None)], "id int, at int")
+    got = {r.id: r.decoded for r in E.decode_labels(df, F.col("at"), classes).collect()}
+    assert got == {1: "a", 2: "c", 3: None, 4: None}
+
+
+def test_learning_curve_reads_one_feature_table(spark, monkeypatch):
+    df = spark.createDataFrame([(i, ("strcpy(buf, s);" if i % 2 else "return 0;") + f" x{i % 5}", "V" if i % 2 else "B") for i in range(80)],
+                               "id int, code string, label string")
+    cut, fits = [], T._token_stage
+    monkeypatch.setattr(T, "_token_stage", lambda code: cut.append(code) or fits(code))
+    rows = T.learning_curve(df, "id", fractions=(0.4, 1.0), folds=3, trees=4, terms=30, depth=4).collect()
+    assert len(cut) == 1 and len(rows) == 6 and sum(r.n_test for r in rows if r.fraction == 1.0) == 80
+    assert all(r.n_train + r.n_test == 80 for r in rows if r.fraction == 1.0)
+    assert all(r.test_score == 1.0 and r.train_score == 1.0 for r in rows if r.fraction == 1.0)
+
+
 def test_label_index_by_ranges(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "label string")
     assert {tuple(r) for r in E.index_labels(df).collect()} == {("a", 0), ("b", 1), ("c", 2)}
