@@ -17,7 +17,8 @@ from codeloom.session import ensure_checkpoint_dir
 # Reserved tokens and their ids.
 RESERVED = {"<s>": 0, "<pad>": 1, "</s>": 2, "<unk>": 3, "<mask>": 4}
 
-_OPEN, _CLOSE = "﷔", "﷕"  # noncharacters around every symbol of a word
+MARKS = "﷔", "﷕"  # noncharacters around every symbol of a word
+_OPEN, _CLOSE = MARKS
 
 
 def _box(symbol: str) -> str:

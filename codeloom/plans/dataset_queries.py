@@ -19,7 +19,7 @@ from codeloom.plans.inputs import (
     lines_sql, project_events, quoted, shared_files, shared_findings, squeeze_sql, statements,
     status_of_event, table, trim_sql)
 from codeloom.plans.registry import query
-from codeloom.plans.source_queries import CATEGORIES, SAFE_SQL, SEQ_SQL, _categories, simple_sql
+from codeloom.plans.source_queries import CATEGORIES, SAFE_SQL, SEQ_SQL, _categories, c_tokens_sql, simple_sql
 from codeloom.session import scratch_path
 from codeloom.sources import reports
 from codeloom.sources.tables import export_code_label
@@ -527,18 +527,49 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.word_index(_vocabulary(spark, sf))
 
 
-def _merges(spark: SparkSession, sf: str, num: int = 60):
+MERGES = 60
+
+
+def _merges_sql() -> str:
+    """Tables of the merges, one after the other: words as rows of marked symbols, of whose neighbours the most
+    frequent pair is joined at each step."""
+    o, c = (quoted(m) for m in embeddings.MARKS)
+    tables = [f"""toks AS MATERIALIZED (SELECT doc_id, {c_tokens_sql("text")} AS tokens FROM documents),
+w0 AS MATERIALIZED (SELECT word, regexp_replace(word, '(.)', {o} || '\\1' || {c}, 'gs') AS s, n FROM (
+  SELECT word, count(*) AS n FROM (SELECT UNNEST(tokens) AS word FROM toks) WHERE length(word) > 0 GROUP BY word))"""]
+    for i in range(MERGES):
+        tables.append(f"""a{i} AS (SELECT string_split(substr(s, 2, length(s) - 2), {c} || {o}) AS a, n FROM w{i}),
+p{i} AS MATERIALIZED (SELECT p[1] AS l, p[2] AS r FROM (SELECT UNNEST(list_zip(a[:-2], a[2:])) AS p, n FROM a{i} WHERE len(a) > 1)
+  GROUP BY ALL HAVING sum(n) >= 2 ORDER BY sum(n) DESC, l, r LIMIT 1),
+w{i + 1} AS MATERIALIZED (SELECT word, replace(s, {o} || l || {c} || {o} || r || {c}, {o} || l || r || {c}) AS s, n FROM w{i}, p{i})""")
+    found = " UNION ALL ".join(f"SELECT {i} AS rank, l, r FROM p{i}" for i in range(MERGES))
+    return "WITH " + ",\n".join(tables) + f",\nmerges AS ({found})\n"
+
+
+def _merges(spark: SparkSession, sf: str):
     words = table(spark, sf, "documents").select(F.explode(X.code_tokens_c(F.col("text"))).alias("word"))
-    return embeddings.bpe_train(words, num_merges=num)
+    return embeddings.bpe_train(words, num_merges=MERGES)
 
 
-@query("bpe_train")
+@query("bpe_train", _merges_sql() + 'SELECT CAST(rank AS INTEGER) AS rank, l AS "left", r AS "right" FROM merges')
 def _(spark: SparkSession, sf: str) -> DataFrame:
     _, merges = _merges(spark, sf)
     return spark.createDataFrame([(i, l, r) for i, (l, r) in enumerate(merges)], "rank int, left string, right string")
 
 
-@query("bpe_encode")
+@query("bpe_encode", _merges_sql() + f""",
+letters AS (SELECT DISTINCT UNNEST(string_split(word, '')) AS token FROM w0),
+vocab AS (SELECT token, min(id) AS id FROM (
+  SELECT token, 4 + row_number() OVER (ORDER BY token) AS id FROM letters
+  UNION ALL SELECT l || r, 5 + (SELECT count(*) FROM letters) + row_number() OVER (ORDER BY rank) - 1 FROM (
+    SELECT l, r, rank FROM merges QUALIFY row_number() OVER (PARTITION BY l || r ORDER BY rank) = 1)) GROUP BY token),
+pieces AS (SELECT word, string_split(substr(s, 2, length(s) - 2), {quoted(embeddings.MARKS[1] + embeddings.MARKS[0])}) AS parts FROM w{MERGES}),
+coded AS (SELECT word, CASE WHEN v.id IS NOT NULL THEN [v.id] ELSE list_transform(parts, lambda p: coalesce(known[p], 3)) END AS ids
+  FROM pieces LEFT JOIN vocab v ON v.token = word, (SELECT map(list(token), list(id)) AS known FROM vocab)),
+placed AS (SELECT doc_id, UNNEST(tokens[:1022]) AS word, UNNEST(range(len(tokens[:1022]))) AS place FROM toks),
+bodies AS (SELECT doc_id, flatten(list(ids ORDER BY place))[:1022] AS ids FROM placed JOIN coded USING (word) GROUP BY doc_id),
+every AS (SELECT doc_id, list_concat([0], coalesce(ids, []), [2]) AS ids FROM toks LEFT JOIN bodies USING (doc_id))
+SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(1024 - len(ids)), lambda x: 1)), ',') AS ids FROM every""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     vocab, merges = _merges(spark, sf)
     d = table(spark, sf, "documents").select("doc_id", X.code_tokens_c(F.col("text")).alias("tokens"))

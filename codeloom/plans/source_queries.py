@@ -502,12 +502,13 @@ _ESCAPED = X.C_TOKEN.replace(r'"[^"\n]*"', r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"').repl
     r"'[^'\n]*'", r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'")
 
 
+def c_tokens_sql(expr: str) -> str:
+    return f"list_transform(regexp_extract_all({expr}, {quoted(_ESCAPED)}), lambda t: replace(t, ' ', ''))"
+
+
 @query("code_tokens_c", C_FILES + f"""
-SELECT file, array_to_string(list_transform(regexp_extract_all(text, {quoted(_ESCAPED)}),
-       lambda t: replace(t, ' ', '')), chr(31)) AS tokens FROM c_text
-UNION ALL
-SELECT url, array_to_string(list_transform(regexp_extract_all(html, {quoted(_ESCAPED)}),
-       lambda t: replace(t, ' ', '')), chr(31)) FROM pages""")
+SELECT file, array_to_string({c_tokens_sql("text")}, chr(31)) AS tokens FROM c_text
+UNION ALL SELECT url, array_to_string({c_tokens_sql("html")}, chr(31)) FROM pages""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     code = c_sources(spark, sf).select(F.col("path").alias("file"), "text").unionByName(
         table(spark, sf, "pages").select(F.col("url").alias("file"), F.col("html").alias("text")))
