@@ -160,3 +160,19 @@ def test_evaluation_of_one_class(spark):
     row = evaluate(df, "y", "s").first()
     assert row.n == 2 and row.accuracy == 0.5 and row.auc is None
     assert evaluate(df.filter("false"), "y", "s").first().n == 0
+
+
+def test_word_vectors_stay_a_table(spark, monkeypatch):
+    """Every frequent word gets a vector, by name and not by hash, and none passes through the driver's model."""
+    from pyspark.sql import DataFrame
+
+    from codeloom.operators import wordvectors
+
+    monkeypatch.setattr(wordvectors, "LEAST_BITS", 1 << 15)
+    monkeypatch.setattr(wordvectors, "SHARD_BYTES", 2_000)
+    df = spark.createDataFrame([([f"w{i}", f"w{i}", None, f"r{i}"],) for i in range(300)] + [(None,), ([],)], "tokens array<string>")
+    model = E.train_word2vec(df, "tokens", size=8, min_count=2, partitions=3)
+    assert isinstance(model.table, DataFrame)
+    got = {r.word: list(r.vector) for r in model.getVectors().collect()}
+    assert set(got) == {f"w{i}" for i in range(300)} and all(len(v) == 8 and any(v) for v in got.values())
+    assert E.train_word2vec(df.filter("false"), "tokens", size=8).getVectors().count() == 0
