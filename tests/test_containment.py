@@ -85,3 +85,20 @@ def test_null_texts_contain_nothing(spark):
     for bound in (C.MAX_PASSAGES, 0):
         found = C.contained(texts, passages, "id", "text", "p", max_passages=bound)
         assert [(r.id, r.p) for r in found.collect()] == [(2, "b")]
+
+
+def test_names_in_any_text_are_found_without_rows_of_texts(spark, monkeypatch):
+    """Random names of several lengths against brute force, over texts cut into small chunks, with more lengths than allowed too."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé𝄞 ") for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, ""]
+    names = sorted({"".join(rng.choice("abé𝄞 ") for _ in range(rng.randint(0, 7))) for _ in range(400)}) + [None]
+    t = spark.createDataFrame([(1, x) for x in texts], "id int, body string")
+    p = spark.createDataFrame([(n,) for n in names * 2], "name string")
+    want = {n for n in names if n is not None and any(n in x for x in texts if x is not None)}
+    monkeypatch.setattr(C, "_CHUNK_CHARS", 100)
+    got = [r.name for r in C.occurring(t, p, "id", "body", "name").collect()]
+    assert set(got) == want and len(got) == len(want) < len(names) - 1 and "" in want
+    assert C.occurring(t.filter("body IS NULL"), p, "id", "body", "name").count() == 0
+    monkeypatch.setattr(C, "MAX_LENGTHS", 3)
+    unique = t.withColumn("id", F.monotonically_increasing_id())
+    assert {r.name for r in C.occurring(unique, p, "id", "body", "name").collect()} == want
