@@ -20,3 +20,20 @@ def test_equals_brute_force(spark, bound):
                       for i, y, v in data if y == label)
         want |= {i for _, i in dist[:25]}
     assert {r.id for r in out.collect()} == want
+
+
+def test_whole_numbers_need_no_differences(monkeypatch):
+    """Distances of id arrays come from one product for each block, with the same values to the last bit."""
+    import numpy as np
+
+    from codeloom.operators import nearmiss as N
+
+    random = np.random.default_rng(4)
+    rows, others = random.integers(0, 60000, (70, 9)).astype(float), random.integers(0, 60000, (50, 9)).astype(float)
+    others[7] = rows[3]
+    monkeypatch.setattr(N, "_STEP", 16)
+    want = np.sort(np.sqrt(((rows[:, None] - others[None]) ** 2).sum(axis=2)), axis=1)
+    assert N._exact_squares(rows, others) and not N._exact_squares(rows + 0.5, others) and not N._exact_squares(rows * 1e5, others)
+    assert (N._k_smallest(rows, others, 3) == want[:, :3]).all()
+    assert (N._k_smallest(rows, others[:2], 3)[:, :2] == np.sort(np.sqrt(((rows[:, None] - others[None, :2]) ** 2).sum(axis=2)), axis=1)).all()
+    assert np.abs(N._k_smallest(rows + 0.5, others, 3) - np.sort(np.sqrt(((rows[:, None] + 0.5 - others[None]) ** 2).sum(axis=2)), axis=1)[:, :3]).max() < 1e-9
