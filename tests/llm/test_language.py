@@ -125,3 +125,11 @@ def test_memo_is_bounded(model, monkeypatch):
     monkeypatch.undo()
     model.forget()
     assert all(np.array_equal(a, b) for a, b in zip(got, model.scores(texts)))
+
+
+def test_ascii_words_are_those_of_any_text():
+    """The pattern for ASCII finds what the general one finds, with long runs cut alike."""
+    from codeloom.llm import language_id as L
+
+    text = "".join(map(chr, range(128))) * 2 + " x1y_z " + "Ab" * 70 + "9" + "c" * 64
+    assert text.isascii() and L.words_of(text) == L._words().findall(text) and len(L.words_of(text)) > 9
