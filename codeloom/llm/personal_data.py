@@ -2,8 +2,8 @@
 
 Patterns give the base spans. The network learns from labelled spans: the base ones, the same written
 otherwise (a phone without its ``+``, ``name [at] host``, ...; see ``rewritten``), and credentials that
-stand beside a telling name (``password=...``) or have a known shape. It then reads every window of every
-text that holds a digit or an ``@`` (a mark that each kind has; windows overlap by half), and finds
+stand beside a telling name (``password=...``) or have a known shape. An added span holds a digit, an ``@`` or
+a written ``at``. The network reads every window of every text that such a span can touch (windows overlap by half), and finds
 such forms also where no pattern or name tells them. Windows are decoded alone; their spans are
 reconciled over the whole text: those cut by a window's edge give way to the neighbour that sees them whole
 or are joined with the neighbour's piece, and of overlapping ones the surest stays. Spans that
@@ -118,10 +118,24 @@ def classes_of(text: str) -> np.ndarray:
     return out | np.where(blank > 0, 0, shape[token] << CLASS_BITS).astype(np.uint16)
 
 
-def marked_windows(classes: np.ndarray) -> np.ndarray:
-    """Starts of the windows, on a grid of ``STRIDE``, that hold a digit or an ``@``."""
+_WRITTEN_AT = re.compile(r"[\[( ]at[\]) ]")
+_IN_CREDENTIAL = np.isin(np.arange(_CLASS + 1), [2, 3, 4, *(_CLASSES[ord(c)] for c in "+/_-")])
+
+
+def marked_windows(classes: np.ndarray, text: str | None = None) -> np.ndarray:
+    """Starts of the windows, on a grid of ``STRIDE``, that hold a digit or an ``@``.
+
+    With the ``text``, all windows from which a span can be added: also those that hold an ``at`` between blanks or brackets,
+    or a part of a credential with a digit further on, to which a span would be drawn out.
+    """
     plain = classes & _CLASS
     marks = np.flatnonzero((plain == 4) | (plain == 5))
+    if text is not None:
+        written = [m.start() for m in _WRITTEN_AT.finditer(text)]
+        inside = _IN_CREDENTIAL[plain]
+        run = np.cumsum(~inside)  # a run has the number of the character before it
+        far = inside & (np.bincount(run, plain == 4) > 0)[run] if len(run) else inside
+        marks = np.unique(np.concatenate((marks, np.array([i for w in written for i in (w, w + 3)], np.int64), np.flatnonzero(far))))
     if not len(marks):
         return marks
     block = np.unique(marks // STRIDE)
@@ -359,7 +373,7 @@ def joined_pieces(pieces: list[tuple[int, int, int, bool, bool, float]]) -> list
 def read_windows(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """The network's sure spans ``(start, kind, end)`` of each text, reconciled over its windows."""
     classes = [classes_of(t) for t in texts]
-    starts = [marked_windows(c) for c in classes]
+    starts = [marked_windows(c, t) for c, t in zip(classes, texts)]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     owners = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
     if not len(owners):

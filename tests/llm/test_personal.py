@@ -260,3 +260,27 @@ def test_edges(spark, edges, nothing, trained):
 def test_long_runs_are_linear():
     text = "a" * 300_000 + "@" + "9" * 3_000 + "@b.c"
     assert personal_data.base_spans(text)[0] == [(300_001, 0, len(text))]
+
+
+def test_windows_of_written_addresses_and_long_credentials_are_read():
+    """No digit and no @ near: a window is read for its ``at``, and for a digit further on in its run."""
+    import numpy as np
+
+    from codeloom.llm import personal_data as P
+
+    class Stub:
+        """Takes every stretch without a line end for an address."""
+
+        def decode(self, ids):
+            plain = ids & P._CLASS
+            inside = (plain != P._CLASSES[ord("\n")]) & (plain > 0)
+            first = inside & ~np.concatenate((np.zeros((len(ids), 1), bool), inside[:, :-1]), axis=1)
+            return np.where(first, 1, np.where(inside, 2, 0)), np.ones(ids.shape)
+
+    blank, address = "\n" * 200, "jane [at] example [dot] com"
+    (base, every), = P.find_spans(Stub(), [blank + address + blank])
+    assert base == [] and every == [(200, 0, 200 + len(address))]
+    assert P.find_spans(Stub(), [blank + "plain words of prose" + blank]) == [([], [])]
+    text = "x" * 300 + "7" + "\n" * 300
+    assert P.marked_windows(P.classes_of(text), text).tolist() == list(range(0, 301, P.STRIDE))
+    assert P.marked_windows(P.classes_of(""), "").tolist() == []
