@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
@@ -40,6 +41,9 @@ WORD_CAP = 6.0  # a word can't favour a language by more, so one odd word is no
 # Scores of at most this many different words are remembered in a Python worker, then forgotten.
 MEMO_WORDS = 500_000
 
+FEW_LANGUAGES = 32  # up to so many, numbers one by one cost less than arrays of them
+PATH_SLICE = 4096  # words that the recursion turns into numbers at a time
+
 MOST_LANGUAGES = 512  # learned; a model of so many takes 64 MB
 
 
@@ -92,6 +96,41 @@ def gram_buckets(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _path(scores: np.ndarray, few: bool) -> np.ndarray:
+    """The recursion: labels of the best path, by plain numbers for a few languages, else by arrays. Both give the same."""
+    n, k = scores.shape
+    out = np.empty(n, np.int64)
+    if few:
+        # Values before each word are kept; where the path came from follows from them.
+        kept, value = array("d"), [0.0] * k
+        for at in range(0, n, PATH_SLICE):
+            for row in scores[at:at + PATH_SLICE].tolist():
+                kept.extend(value)
+                least = max(value) - SWITCH
+                value = [(v if v >= least else least) + s for v, s in zip(value, row)]
+        now = value.index(max(value))
+        for t in range(n - 1, -1, -1):
+            out[t] = now
+            before = kept[t * k:t * k + k]
+            most = max(before)
+            if before[now] < most - SWITCH:
+                now = before.index(most)
+        return out
+    back = np.empty((n, k), np.int32)
+    here = np.arange(k)
+    value = np.zeros(k)
+    for t in range(n):
+        top = int(value.argmax())
+        moved = value < value[top] - SWITCH
+        back[t] = np.where(moved, top, here)
+        value = np.where(moved, value[top] - SWITCH, value) + scores[t]
+    now = int(value.argmax())
+    for t in range(n - 1, -1, -1):
+        out[t] = now
+        now = back[t, now]
+    return out
+
+
 class Model:
     """``weights``: one row of log-probabilities per bucket, one column per language; ``scripts``:
     flags of the candidate languages of each script."""
@@ -155,21 +194,7 @@ class Model:
         lead = np.concatenate(([0.0], np.cumsum(others.max(axis=1) - scores[:, best])))
         if (lead - np.minimum.accumulate(lead)).max() <= SWITCH:
             return np.full(len(scores), best)
-        n, k = scores.shape
-        back = np.empty((n, k), np.int32)
-        here = np.arange(k)
-        value = np.zeros(k)
-        for t in range(n):
-            top = int(value.argmax())
-            moved = value < value[top] - SWITCH
-            back[t] = np.where(moved, top, here)
-            value = np.where(moved, value[top] - SWITCH, value) + scores[t]
-        out = np.empty(n, np.int64)
-        now = int(value.argmax())
-        for t in range(n - 1, -1, -1):
-            out[t] = now
-            now = back[t, now]
-        return out
+        return _path(scores, scores.shape[1] <= FEW_LANGUAGES)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Spans ``(start, end, language)`` of a text in code points."""

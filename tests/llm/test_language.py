@@ -133,3 +133,12 @@ def test_ascii_words_are_those_of_any_text():
 
     text = "".join(map(chr, range(128))) * 2 + " x1y_z " + "Ab" * 70 + "9" + "c" * 64
     assert text.isascii() and L.words_of(text) == L._words().findall(text) and len(L.words_of(text)) > 9
+
+
+def test_numbers_and_arrays_give_one_path():
+    """The recursion by plain numbers, which few languages take, is that by arrays, ties included."""
+    random = np.random.default_rng(7)
+    for n, k in ((1, 1), (1, 3), (9000, 4), (400, 30)):
+        scores = -6 * random.integers(0, 3, (n, k)).astype(np.float32) / 2
+        assert language_id._path(scores, True).tolist() == language_id._path(scores, False).tolist()
+        assert language_id._path(scores, True).size == n
