@@ -238,3 +238,29 @@ def test_leaks_edges(spark, edges, nothing):
     assert {r.doc_id for r in clean.collect()} == {None, 1, 2, 3, 6, 7, 10}
     assert decontamination.remove_leaks(nothing, items).count() == 0
     assert decontamination.remove_leaks(edges, items.filter("false")).count() == edges.count()
+
+
+def test_scorer_learns_from_all_rows(spark):
+    """All rows teach the scorer, however they are dealt; the sums are those of one machine, save for the units."""
+    docs = _judged_texts(spark)
+    one, many = (weak_labels.train(docs.repartition(n)) for n in (1, 7))
+    assert np.array_equal(one.weights, many.weights) and one.limit == many.limit
+    texts = [r.text.encode() for r in docs.collect()]
+    found = [weak_labels.features(t) for t in texts]
+    good = one.labels.posterior(np.array([weak_labels.votes(weak_labels.measures(t)) for t in texts]))
+    assert 0 < (good > 0.5).sum() < len(good)
+    assert np.abs(one.weights - weak_labels.fit_scorer(found, good)).max() < 0.05
+    scores = np.array([one.score(t) for t in texts])
+    part = lambda limit: good[scores < limit].sum() / good.sum() - (1 - good)[scores < limit].sum() / (1 - good).sum()
+    assert part(one.limit) <= min(map(part, scores)) + 1e-3
+    # A word that only some rows hold moves its weight, whatever their keys' hashes are.
+    more = docs.unionByName(spark.range(9000).selectExpr("id + 1000000 AS doc_id", "repeat('qqq #### ', 60) AS text"))
+    at = set(weak_labels.features(b"qqq")[0]) - {4096 + 3}
+    assert all(weak_labels.train(more).weights[k] < 0 for k in at)
+
+
+def _judged_texts(spark):
+    good = "the house is of the people and it was in that town with a long road to the sea\n"
+    return spark.createDataFrame(
+        [(i, f"{good}{good[i % 40:]}word{i} and so on the way\n" * (1 + i % 3) if i % 4 else f"{'#$ ' * 40} XX{i} " * 3)
+         for i in range(120)], "doc_id long, text string")
