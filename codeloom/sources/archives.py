@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bz2
 import lzma
+import math
 import struct
 import zipfile
 import zlib
@@ -16,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -24,6 +26,7 @@ from codeloom.session import staged
 RANGE_BYTES = 32 << 20  # packed bytes of a range
 RANGE_ENTRIES = 2_000
 MOST_TASKS = 20_000  # beyond, a task reads several ranges
+TASKS_A_CORE = 4  # at least, if there are as many ranges
 _BATCH_BYTES = 32 << 20  # unpacked bytes handed on at a time
 
 _ENTRY = T.StructType([
@@ -109,7 +112,7 @@ def _content(file, archive: str, entry: dict) -> bytes:
 
 
 def read_ranges(ranges: DataFrame) -> DataFrame:
-    """Rows ``(archive, path, content)`` of the entries of ``entry_ranges``, the ranges dealt to as many tasks."""
+    """Rows ``(archive, path, content)`` of the entries of ``entry_ranges``, the ranges dealt to tasks by their work."""
     arrow = to_arrow_schema(_CONTENTS)
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +132,12 @@ def read_ranges(ranges: DataFrame) -> DataFrame:
 
     known = staged(ranges, "ranges")
     # A range's row is small but its work is not, so adaptive execution must not put ranges together by size.
-    dealt = known.repartition(max(1, min(known.count(), MOST_TASKS)))
+    # Many small ranges share a task: as many tasks as there are whole ranges' work, and some for each core.
+    packed = F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["packed"])
+    count, held, entries = known.agg(F.count("*"), F.sum(packed), F.sum(F.size("entries").cast("long"))).first()
+    work = max(math.ceil((held or 0) / RANGE_BYTES), math.ceil((entries or 0) / RANGE_ENTRIES),
+               TASKS_A_CORE * known.sparkSession.sparkContext.defaultParallelism)
+    dealt = known.repartition(max(1, min(count, work, MOST_TASKS)))
     return dealt.select("archive", "entries").mapInArrow(unpacked, _CONTENTS)
 
 

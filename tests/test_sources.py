@@ -202,3 +202,16 @@ def test_rules_may_share_group_names_and_be_many(spark):
     rules = [rule("a", r"(?<x>foo)\("), rule("b", r"(?<x>bar) \k<x>"), rule("c", "call")]
     rules += [rule(f"r{i}", f"never{i}") for i in range(1500)]
     assert sorted((r.line, r.name) for r in scan_rules(lines, rules).collect()) == [("1", "a"), ("1", "c"), ("2", "b")]
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Many ranges of little work are dealt to some tasks for each core; every entry is read."""
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for i in range(300):
+            z.writestr(f"d{i}.c", f"int f{i}(void);\n" * 20)
+    ranges = archives.entry_ranges(archives.archive_paths(spark, str(tmp_path / "z.zip")), range_bytes=100)
+    assert ranges.count() == 300
+    got = archives.read_ranges(ranges)
+    assert got.rdd.getNumPartitions() == min(300, archives.TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    assert rows(got.select("path", got.content.cast("string"))) == sorted(
+        ((f"d{i}.c", f"int f{i}(void);\n" * 20) for i in range(300)), key=repr)
