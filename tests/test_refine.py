@@ -86,3 +86,14 @@ def test_ranks_and_totals(spark):
     for r in sums:
         total += r.v
         assert r.upto == total
+
+
+def test_refining_dealt_rows_moves_them_no_more(spark):
+    data = [(k, c, i) for i, (k, c) in enumerate(
+        [("x", "Benign"), ("x", "CWE-1"), ("x", "CWE-1"), (None, "Benign"), (None, "CWE-2"), ("y", None), ("y", "Benign"), ("z", None)] * 3)]
+    df = spark.createDataFrame(data, "code string, cwe string, id int")
+    dealt = df.withColumn("b", F.pmod(F.xxhash64("code"), F.lit(3))).repartition("b")
+    got = R.refine_dataset(dealt, ["id"], within=["b"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    by_text = lambda df: sorted(map(str, df.collect()))
+    assert by_text(got.drop("b")) == by_text(R.refine_dataset(df, ["id"]))
