@@ -114,3 +114,16 @@ def test_texts_are_searched_once(spark):
     assert plan.count("(?:open)") == 1
     (row,) = cut.collect()
     assert row.file == "a.c" and [f.code for f in row.functions] == ["int f(void)\n{\n  open;\n}"]
+
+
+def test_reported_findings_travel_to_their_source(spark, sf):
+    """Same refined rows as by the steps, also where some or all files are too large to be done in their row."""
+    sources = c_sources(spark, sf).drop("doc_id").limit(40).cache()
+    lines = split_statements(sources.select(F.col("path").alias("file"), "project", "text"), first=1)
+    findings = scan_rules(lines, RULES).cache()
+    want = extraction.label_sources(sources, findings)
+    for limits in ({}, {"most": 3}, {"chars": 10}):
+        for got, steps, order in zip(extraction.label_reported(sources, findings, **limits), want, extraction.ORDER.values()):
+            got = refine_dataset(got, order, labelled=True)
+            assert got._jdf.queryExecution().executedPlan().toString().count("Window ") <= 1
+            assert rows(got) == rows(refine_dataset(steps, order).select(*got.columns)) != []

@@ -97,3 +97,14 @@ def test_refining_dealt_rows_moves_them_no_more(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     by_text = lambda df: sorted(map(str, df.collect()))
     assert by_text(got.drop("b")) == by_text(R.refine_dataset(df, ["id"]))
+
+
+def test_refining_labelled_rows_moves_them_once(spark):
+    data = [(k, c, i) for i, (k, c) in enumerate(
+        [("x", "Benign"), ("x", "CWE-1"), ("x", "CWE-1"), (None, "Benign"), (None, "CWE-2"), ("y", "-"), ("y", "Benign"), ("", "Benign")] * 3)]
+    df = spark.createDataFrame(data, "code string, cwe string, id int")
+    got = R.refine_dataset(df, ["id"], labelled=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+    by_text = lambda df: sorted(map(str, df.collect()))
+    assert by_text(got) == by_text(R.refine_dataset(df, ["id"])) and len(by_text(got)) == 5
