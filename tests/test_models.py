@@ -176,3 +176,26 @@ def test_word_vectors_stay_a_table(spark, monkeypatch):
     got = {r.word: list(r.vector) for r in model.getVectors().collect()}
     assert set(got) == {f"w{i}" for i in range(300)} and all(len(v) == 8 and any(v) for v in got.values())
     assert E.train_word2vec(df.filter("false"), "tokens", size=8).getVectors().count() == 0
+
+
+def test_dense_net_learns_in_blocks_and_is_sparks_model(spark):
+    """The gradient is that of the loss; Spark's model with these weights tells classes apart that no line divides."""
+    import numpy as np
+
+    from codeloom.operators import densenets as D
+    random, sizes = np.random.default_rng(1), [3, 4, 5, 2]
+    w, x, y = D.first_weights(sizes, 3), random.normal(size=(9, 3)), np.arange(9) % 2
+    _, slope = D.loss_and_gradient(w, sizes, x, y)
+    near = [(D.loss_and_gradient(w + e, sizes, x, y)[0] - D.loss_and_gradient(w - e, sizes, x, y)[0]) / 2e-5 for e in np.eye(len(w)) * 1e-5]
+    assert np.allclose(slope, near, atol=1e-6)
+
+    df = spark.createDataFrame([([i % 2, i // 2 % 2, 1], (i + i // 2) % 2) for i in range(400)], "X array<int>, label_index int")
+    read = D.blocks(df, "X", "label_index").collect()
+    assert sum(r.n for r in read) == 400 and {r.kind for r in read} == {"|u1"}
+    model = T.train_dense_net(df, "X", "label_index", 2, [6, 4])
+    out = T.predict_ids(model, df, "X")
+    assert out.filter("prediction = label_index").count() == 400
+    loss, _ = D.loss_and_gradient(
+        model.stages[0].weights.toArray(), [3, 6, 4, 2], np.array([[0.0, 1, 1]]), np.array([1]))
+    (p,) = {r.probability[1] for r in out.filter("X[0] = 0 AND X[1] = 1").collect()}
+    assert abs(np.exp(-loss) - p) < 1e-9
