@@ -1,11 +1,15 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from codeloom.operators import embeddings as E
 from codeloom.operators import evaluation as V
+from codeloom.operators import forests
 from codeloom.operators.tfidf import tfidf
 from codeloom.plans import training as T
 from codeloom.sources import tables
@@ -199,3 +203,71 @@ def test_dense_net_learns_in_blocks_and_is_sparks_model(spark):
         model.stages[0].weights.toArray(), [3, 6, 4, 2], np.array([[0.0, 1, 1]]), np.array([1]))
     (p,) = {r.probability[1] for r in out.filter("X[0] = 0 AND X[1] = 1").collect()}
     assert abs(np.exp(-loss) - p) < 1e-9
+
+
+def test_forest_scores_are_those_of_sparks_forest(spark):
+    """Held-out scores within two hundredths of Spark's forest on noisy sparse rows; thresholds, not only zeros, count."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        at = sorted(rng.sample(range(40), 8))
+        values = [round(rng.uniform(0.05, 1), 3) for _ in at]
+        x = dict(zip(at, values))
+        y = float((x.get(3, 0) > 0.5) ^ (7 in x)) if rng.random() < 0.9 else 2.0
+        rows.append((Vectors.sparse(40, at, values), y, i % 3, (i * 7919 % 1500 + 0.5) / 1500))
+    df = spark.createDataFrame(rows, ["features", "y", "_fold", "_share"]).withColumn("_draw", F.xxhash64("_share"))
+    fits = [forests.Fit(f, s) for f in range(3) for s in (0.5, 1.0)]
+    got = forests.forest_scores(df, "features", "y", 3, 40, fits, trees=30, depth=8, seed=1, at_a_time=4)
+    assert got == forests.forest_scores(df.repartition(5), "features", "y", 3, 40, fits, trees=30, depth=8, seed=1, at_a_time=4)
+    spark_scores = []
+    for fit, (n, m, a, b) in zip(fits, got):
+        train = df.filter((F.col("_fold") != fit.fold) & (F.col("_share") <= fit.share))
+        test = df.filter(F.col("_fold") == fit.fold)
+        assert (n, m) == (train.count(), test.count())
+        model = RandomForestClassifier(labelCol="y", numTrees=30, maxDepth=8, seed=1).fit(train)
+        spark_scores.append([model.transform(d).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] for d in (train, test)])
+    mean = lambda xs: sum(xs) / len(xs)
+    assert abs(mean([g[3] for g in got]) - mean([s[1] for s in spark_scores])) < 0.02
+    assert abs(mean([g[2] for g in got]) - mean([s[0] for s in spark_scores])) < 0.02
+    assert mean([g[3] for g in got]) > 0.7
+
+
+def test_learning_curve_holds_no_row_of_all_terms(spark, monkeypatch):
+    """Fits read bins of what is not zero, a few bytes each, and none of them makes Spark's dense rows."""
+    made, keep = [], forests.staged
+    monkeypatch.setattr(forests, "staged", lambda df, name: made.append(keep(df, name)) or made[-1])
+    df = spark.createDataFrame([(i, f"strcpy(a{i % 7}, b); word{i} = {i};", "V" if i % 2 else "B") for i in range(300)],
+                               "id int, code string, label string")
+    rows = T.learning_curve(df, "id", fractions=(1.0,), folds=2, trees=2, terms=300, depth=3).collect()
+    assert sum(r.n_test for r in rows) == 300 and len(made) == 1
+    packed = made[0].agg(*(F.sum(F.length(c)) for c in ("row", "at", "bin")), F.sum("n")).first()
+    assert packed[3] == 300 and sum(packed[:3]) < 300 * 20 * 7
+
+
+def test_quantile_cuts():
+    values = np.array([0.2, 0.4, 0.4, 0.6])
+    feature, cut = forests.quantile_cuts(np.array([1, 1, 1, 3]), values, 3)
+    assert feature.tolist() == [1, 3] and np.allclose(cut, [0.3, 0.3])  # 1 has no zeros among three rows
+    many = np.arange(1, 1001) / 1000
+    feature, cut = forests.quantile_cuts(np.zeros(1000, int), many, 1000)
+    assert len(cut) == 31 and np.abs(np.searchsorted(many, cut) - np.arange(1, 32) * 1000 / 32).max() <= 1
+    feature, cut = forests.quantile_cuts(np.zeros(100, int), many[:100], 1000)  # nine tenths are zeros
+    assert cut[0] == 0.0005 and len(cut) == 4
+
+
+def test_null_ids_and_labels_in_a_learning_curve(spark):
+    df = spark.createDataFrame([(i if i % 10 else None, "a(b);" if i % 2 else "return", None if i % 7 == 0 else "V" if i % 2 else "B")
+                                for i in range(100)], "id int, code string, label string")
+    rows = T.learning_curve(df, "id", fractions=(0.0, 1.0), folds=2, trees=3, terms=20, depth=0).collect()
+    assert sum(r.n_test for r in rows if r.fraction == 1.0) == 100
+    assert [(r.n_train, r.train_score) for r in rows if r.fraction == 0.0] == [(0, None)] * 2
+
+
+def test_letters_alone_or_repeated_are_no_tokens(spark):
+    """One pattern removes what two did, one after the other."""
+    code = "a aa aA ab _a a1 x-yy-z éa aé 𝕒a bbb.c(dd) zZz q"
+    df = spark.createDataFrame([(code,), ("",), ("kk",)], "code string")
+    edge = T.WORD_CHAR
+    clean = F.regexp_replace(F.regexp_replace("code", rf"(?<!{edge})([A-Za-z])\1+(?!{edge})", ""), f"(?<!{edge})[A-Za-z](?!{edge})", "")
+    twice = df.select(F.regexp_extract_all(F.lower(clean), F.lit(T.TFIDF_TOKEN), 1).alias("tokens"))
+    assert T._token_stage("code").transform(df).select("tokens").collect() == twice.collect()
