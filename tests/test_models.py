@@ -62,6 +62,39 @@ def test_bpe_batches_equal_single_merges(spark, seed):
     assert len(short.first().ids) == 6 and short.first().ids[-1] == 2
 
 
+@pytest.mark.parametrize("held", [E.HELD_SYMBOLS, 300, 0])
+def test_bpe_learns_all_merges_in_order(spark, monkeypatch, held):
+    """To the last pair that occurs twice, with overlaps, in one place, by rounds, and by some rounds first."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aab" if i % 3 else "abcd") for _ in range(rng.randint(1, 9))) for i in range(120)] + ["aaaaa", "é🙂é🙂"]
+    monkeypatch.setattr(E, "HELD_SYMBOLS", held)
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    vocab, merges = E.bpe_train(df, num_merges=40 if held == 0 else None)
+    want = sequential_bpe(words, 40 if held == 0 else 10_000)
+    assert merges == want and len(set(vocab)) == len(vocab)
+    letters = sorted(set("".join(words)))
+    assert vocab == [*E.RESERVED, *letters, *(m for m in dict.fromkeys(l + r for l, r in want) if m not in letters)]
+    assert E.bpe_train(df, vocab_size=20)[0] == vocab[:20]
+
+
+def test_vectorize_functions_learns_the_whole_vocabulary(spark, tmp_path):
+    """The query takes the operator's own vocabulary and width: all merges of its words, 100 numbers a vector."""
+    import __spark_entry__ as entry
+    from codeloom.functions.text import code_tokens_c, strip_comments
+    from codeloom.plans.inputs import c_sources
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60)]
+    spark.createDataFrame([(i, " ".join(rng.choices(words, k=30)) + ".", "x", "en", 240) for i in range(40)],
+                          "doc_id long, text string, source string, lang string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    tokens = c_sources(spark, str(tmp_path)).select(F.explode(code_tokens_c(strip_comments(F.col("text")))).alias("word"))
+    vocab, merges = E.bpe_train(tokens)
+    assert len(merges) > 100
+    got = entry.queries()["vectorize_functions"](spark, str(tmp_path)).filter("part = 'embeddings'").collect()
+    assert [(r.width, r.n) for r in got] == [(100, len(vocab))]
+
+
 def test_lookup_fills_zeros(spark):
     index = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx int, token string")
     known = spark.createDataFrame([("a", [1.0, 2.0])], "token string, vector array<double>")
