@@ -265,6 +265,66 @@ def test_forest_scores_are_those_of_sparks_forest(spark):
     assert mean([g[3] for g in got]) > 0.7
 
 
+@pytest.mark.parametrize("open_nodes", [forests.OPEN, 7])
+def test_forest_over_packed_rows_is_sparks_model(spark, monkeypatch, open_nodes):
+    """Trees that grow in common passes, over all open nodes or a few at a time, are a model that Spark writes and reads."""
+    monkeypatch.setattr(forests, "OPEN", open_nodes)
+    monkeypatch.setattr(forests, "GROUPS", 2)
+    monkeypatch.setattr(forests, "MODEL_NODES", 50)
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        x = {j: round(rng.uniform(0.05, 1), 3) for j in rng.sample(range(12), 4)}
+        rows.append((Vectors.sparse(12, sorted(x), [x[j] for j in sorted(x)]), 2.0 if rng.random() < 0.1 else float(x.get(3, 0) > 0.5), i))
+    df = spark.createDataFrame(rows, ["features", "y", "i"]).withColumn("_draw", F.xxhash64("i"))
+    trees = 8 if open_nodes == 7 else 40
+    model = forests.train_forest(df, "features", "y", 4, 12, trees, 6, 1)
+    assert (model.getNumTrees, model.numClasses, model.numFeatures, model.getMaxDepth()) == (trees, 4, 12, 6)
+    assert all(t.depth <= 6 for t in model.trees) and model.totalNumNodes > 5 * trees
+    want = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=6, seed=1).fit(df)
+    right = lambda m: m.transform(df).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+    assert abs(right(model) - right(want)) < (0.05 if trees == 8 else 0.03)
+    assert int(model.featureImportances.toArray().argmax()) == 3
+    out = model.transform(df).select(F.col("probability").alias("p")).collect()
+    assert all(abs(r.p.toArray().sum() - 1) < 1e-9 and r.p[3] == 0 for r in out)
+
+
+def test_best_split_is_that_of_all_cuts(spark):
+    """Of random counts: the first cut with the largest gain, over all bins of all features."""
+    k, classes, nodes = 3, 2, 6
+    each = (k * forests.BINS + 1) * classes
+    random_ = np.random.default_rng(2)
+    full = np.zeros((nodes, each), np.int64)
+    for node in range(nodes - 1):  # the last one has no rows of another bin than the zero's
+        some = random_.choice(k * forests.BINS * classes, 25, replace=False)
+        some = some[some // classes % forests.BINS > 0]
+        full[node, some] = random_.integers(1, 5, len(some))
+    full[:, k * forests.BINS * classes:] = 200 + random_.integers(0, 9, (nodes, classes))
+    cells = np.flatnonzero(full)
+    halves = [cells[::2], cells[1::2], cells[::3]]
+    weights = [full.reshape(-1)[h] for h in halves]
+    weights[2] = weights[2] * 0 + 1
+    full.reshape(-1)[halves[2]] += 1
+    df = spark.createDataFrame([(0, bytearray(h.astype("<i8").tobytes()), bytearray(w.astype("<i8").tobytes())) for h, w in zip(halves, weights)],
+                               "part long, cells binary, n binary")
+    got = {r.node: r for r in forests._best(df, k, classes).collect()}
+    for node in range(nodes):
+        total = full[node, k * forests.BINS * classes:].astype(float)
+        left = full[node, :k * forests.BINS * classes].reshape(k, forests.BINS, classes).astype(float)
+        left[:, 0] = total - left[:, 1:].sum(1)
+        left = left.cumsum(1)[:, :-1]
+        right = total - left
+        with np.errstate(all="ignore"):
+            gain = (left ** 2).sum(2) / left.sum(2) + (right ** 2).sum(2) / right.sum(2) - (total ** 2).sum() / total.sum()
+        gain[(left.sum(2) == 0) | (right.sum(2) == 0)] = -1
+        at = int(gain.argmax())
+        assert got[node].total == total.tolist()
+        if gain.max() > 1e-9:
+            assert (got[node].slot, got[node].bin) == divmod(at, forests.BINS - 1) and got[node].lefts == left.reshape(-1, classes)[at].tolist()
+        else:
+            assert got[node].slot == -1
+
+
 def test_learning_curve_holds_no_row_of_all_terms(spark, monkeypatch):
     """Fits read bins of what is not zero, a few bytes each, and none of them makes Spark's dense rows."""
     made, keep = [], forests.staged
