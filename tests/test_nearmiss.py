@@ -37,3 +37,32 @@ def test_whole_numbers_need_no_differences(monkeypatch):
     assert (N._k_smallest(rows, others, 3) == want[:, :3]).all()
     assert (N._k_smallest(rows, others[:2], 3)[:, :2] == np.sort(np.sqrt(((rows[:, None] - others[None, :2]) ** 2).sum(axis=2)), axis=1)).all()
     assert np.abs(N._k_smallest(rows + 0.5, others, 3) - np.sort(np.sqrt(((rows[:, None] + 0.5 - others[None]) ** 2).sum(axis=2)), axis=1)[:, :3]).max() < 1e-9
+
+
+@pytest.mark.parametrize("high, shift", [(90, 0.0), (60000, 0.0), (90, 0.25)])
+def test_packed_minority_has_the_same_distances(spark, monkeypatch, high, shift):
+    """Small whole numbers are broadcast at a byte each, where eight bytes a value would take the join by cells; the
+    distances are those of all pairs, to the last bit where numbers are whole."""
+    def cells(*_):
+        raise AssertionError("cells were cut")
+
+    monkeypatch.setattr(N, "_cell_distances", cells)
+    random_ = np.random.default_rng(8)
+    x = random_.integers(0, high, (400, 12)).astype(float) + shift
+    df = spark.createDataFrame([(i, "few" if i < 150 else "many", x[i].tolist()) for i in range(400)], "id long, y string, v array<double>")
+    bound = 150 * 12 // 8 if high == 90 and not shift else N.MAX_BROADCAST_VALUES
+    found, label, n = N.minority_distances(df, "y", "id", "v", max_values=bound)
+    want = np.sort(np.sqrt(((x[150:, None] - x[None, :150]) ** 2).sum(axis=2)), axis=1)[:, :3]
+    got = {r.id: r.distance for r in found.collect()}
+    assert n == 150 and sorted(got) == list(range(150, 400))
+    for i, d in got.items():
+        mean = (want[i - 150][0] + want[i - 150][1] + want[i - 150][2]) / 3
+        assert d == mean if not shift else abs(d - mean) < 1e-9
+
+
+def test_vectors_of_different_lengths_are_refused():
+    import pyarrow as pa
+
+    assert N._matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).tolist() == [[1, 2], [3, 4]]
+    with pytest.raises(ValueError):
+        N._matrix(pa.array([[1.0], [2.0, 3.0, 4.0]]))
