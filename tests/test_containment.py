@@ -102,3 +102,21 @@ def test_names_in_any_text_are_found_without_rows_of_texts(spark, monkeypatch):
     monkeypatch.setattr(C, "MAX_LENGTHS", 3)
     unique = t.withColumn("id", F.monotonically_increasing_id())
     assert {r.name for r in C.occurring(unique, p, "id", "body", "name").collect()} == want
+
+
+def test_names_are_found_across_spans_and_told_once(spark, monkeypatch):
+    """Pieces over the ends of tested spans are found, a small memory of what was told loses none, and a large one repeats none."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé𝄞") for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    names = sorted({"".join(rng.choice("abcé𝄞") for _ in range(n)) for n in (1, 2, 3, 4, 30) for _ in range(60)} | {texts[3][5:35], texts[4]})
+    want = {n for n in names if any(n in x for x in texts)}
+    t = spark.createDataFrame([(1, x) for x in texts], "id int, body string").coalesce(1)
+    p = spark.createDataFrame([(n,) for n in names], "name string")
+    told = []
+    monkeypatch.setattr(type(t), "mapInArrow", lambda self, *a, made=type(t).mapInArrow: told.append(made(self, *a)) or told[-1])
+    assert {r.name for r in C.occurring(t, p, "id", "body", "name").collect()} == want
+    rows = [r.name for r in told[-1].collect()]
+    assert len(rows) == len(set(rows)) and len(rows) < 2 * len(want)
+    monkeypatch.setattr(C, "_SPAN", 7)
+    monkeypatch.setattr(C, "_TOLD", 2)
+    assert {r.name for r in C.occurring(t, p, "id", "body", "name").collect()} == want
